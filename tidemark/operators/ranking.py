@@ -87,7 +87,7 @@ def cumulative(
     ).drop("_edges")
 
     per_slice = placed.groupBy(*by, "_slice").agg(
-        F.count(F.lit(1)).alias("_cnt"), *[F.sum(w).alias(f"_s_{w}") for w in weights]
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(w).alias(f"_s_{w}") for w in weights]
     )
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
@@ -95,7 +95,7 @@ def cumulative(
     offsets = per_slice.select(
         *by,
         "_slice",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_o_cnt"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_o_rows"),
         *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(
@@ -103,7 +103,7 @@ def cumulative(
     )
     out = placed.join(offsets, [*by, "_slice"]).select(
         *[c for c in placed.columns if c not in ("_slice",)],
-        (F.col("_o_cnt") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0))).alias(
+        (F.col("_o_rows") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0))).alias(
             "distinct_below"
         ),
         *[
