@@ -59,14 +59,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nudge(digits: int) -> float:
+    """Far below the last kept digit: moves exact decimal halves off the rounding boundary,
+    where two engines that sum in different orders may fall on different sides."""
+    return float(f"3.7e-{digits + 4}")
+
+
 def rnd(c: Column | str, digits: int = 6) -> Column:
     """Round for comparison; adding 0.0 turns a negative zero into zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(nudge(digits)), digits) + F.lit(0.0)
 
 
 def rsql(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
+    shifted = f"CAST({expr} AS DOUBLE) + CAST('{nudge(digits)!r}' AS DOUBLE)"
+    return f"(round({shifted}, {digits}) + CAST(0 AS DOUBLE))"
 
 
 KPIS = ["value_wmean", "value_sum", "value_sample"]

@@ -108,13 +108,13 @@ def sink_parquet(spark, d):
     FROM eh GROUP BY 1, 2, 3""",
 )
 def sql_view(spark, d):
-    return files.sql_view(
+    out = files.sql_view(
         eh(spark, d),
         "kpi_long",
-        """SELECT kpi AS variable, dim_key, ts AS dt,
-                  round(sum(value), 6) + CAST(0 AS DOUBLE) AS value
+        """SELECT kpi AS variable, dim_key, ts AS dt, sum(value) AS value
            FROM kpi_long GROUP BY kpi, dim_key, ts ORDER BY variable, dim_key, dt""",
     )
+    return out.withColumn("value", rnd("value"))
 
 
 @query("make_blobs")

@@ -52,12 +52,12 @@ def rolling_mean(spark, d):
 @query(
     "rolling_triangular_mean",
     f"""WITH {EH_SQL} SELECT kpi, dim_key, ts, {rsql('''(0.25 * lag(value, 3) OVER w
-       + 0.75 * lag(value, 2) OVER w + 0.75 * lag(value, 1) OVER w + 0.25 * value) / 2''')} AS value
+       + 0.75 * lag(value, 2) OVER w + 0.75 * lag(value, 1) OVER w + 0.25 * value) / 2''', 12)} AS value
     FROM eh WINDOW w AS {W}""",
 )
 def rolling_triangular_mean(spark, d):
     smooth = windows.rolling_triangular_mean(F.col("value"), along())
-    return out(eh(spark, d), rnd(smooth).alias("value"))
+    return out(eh(spark, d), rnd(smooth, 12).alias("value"))
 
 
 QW = """(PARTITION BY kpi, dim_key ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 23 FOLLOWING)"""

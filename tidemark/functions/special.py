@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 TINY = 1e-300
@@ -90,7 +91,7 @@ def ks_probability(d: float, n1: int, n2: int) -> float:
     return float(np.clip(1 - inside[n1], 0, 1))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper tail of the F distribution; NULL in, NULL out."""
     known = (f.notna() & df1.notna() & df2.notna()).to_numpy()
@@ -101,7 +102,7 @@ def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution."""
     known = (x.notna() & df.notna()).to_numpy()
@@ -112,7 +113,7 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ks_sf(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """p-value of the two-sample Kolmogorov-Smirnov statistic."""
     return pd.Series(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.geometry import rotate_2d
 from tidemark.operators.windows import along, gap_hours, rolling_triangular_mean
@@ -163,44 +166,43 @@ def interpolate(
 
     ``method`` is ``pchip`` (monotone), ``akima`` or ``linear``; Akima with fewer than five
     known rows falls back to linear. ``x`` defaults to the hour number. Values before the
-    first and after the last known row stay NULL. Everything is a window over the series key.
+    first and after the last known row stay NULL.
+
+    Knot slopes are windows over (key, is known), the forward fill is a window over the key;
+    the first window fixes the exchange on the key, which serves all the others.
     """
     w = along(keys)
-    everything = Window.partitionBy(*keys)
     if x is None:
         x = F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600.0
-    rows = df.withColumn("_x", x)
-    seg = rows.filter(F.col("value").isNotNull()).select(
-        *keys, "ts", F.col("_x").alias("_kx"), F.col("value").alias("_ky")
-    )
-    seg = seg.withColumn("_h", F.lead("_kx").over(w) - F.col("_kx")).withColumn(
-        "_m", (F.lead("_ky").over(w) - F.col("_ky")) / F.col("_h")
+    rows = df.withColumn("_x", x).withColumn(
+        "_n", F.count("value").over(Window.partitionBy(*keys))
     )
+    rows = rows.withColumn("_known", F.col("value").isNotNull())
+    wk = Window.partitionBy(*keys, "_known").orderBy("ts")
+    seg = rows.withColumn("_h", F.lead("_x").over(wk) - F.col("_x"))
+    seg = seg.withColumn("_m", (F.lead("value").over(wk) - F.col("value")) / F.col("_h"))
     if method == "pchip":
-        seg = seg.withColumn("_d", _pchip_slopes(F.col("_h"), F.col("_m"), w))
+        seg = seg.withColumn("_d", _pchip_slopes(F.col("_h"), F.col("_m"), wk))
     elif method == "akima":
-        seg = seg.withColumn("_a", _akima_slopes(F.col("_m"), w))
-        enough = F.count(F.lit(1)).over(everything) >= 5
-        sharp = F.col("_a.weight") > 1e-9 * F.max("_a.weight").over(everything)
-        slope = F.when(sharp, F.col("_a.weighted")).otherwise(F.col("_a.plain"))
-        seg = seg.withColumn("_d", F.when(enough, slope))
+        seg = seg.withColumn("_a", _akima_slopes(F.col("_m"), wk))
+        most = F.max("_a.weight").over(Window.partitionBy(*keys, "_known"))
+        slope = F.when(F.col("_a.weight") > 1e-9 * most, F.col("_a.weighted")).otherwise(
+            F.col("_a.plain")
+        )
+        seg = seg.withColumn("_d", F.when(F.col("_n") >= 5, slope))
     else:
         seg = seg.withColumn("_d", F.lit(None).cast("double"))
-    knots = seg.select(
-        *keys, "ts",
-        F.struct(
-            "_kx", "_ky", "_h", "_m", "_d", F.lead("_d").over(w).alias("_d1")
-        ).alias("_knot"),
-    )
-    filled = rows.join(knots, [*keys, "ts"], "left").withColumn(
-        "_k", F.last("_knot", ignorenulls=True).over(w)
+    seg = seg.withColumn("_d1", F.lead("_d").over(wk))
+    knot = F.struct("_x", "value", "_h", "_m", "_d", "_d1")
+    filled = seg.withColumn(
+        "_k", F.last(F.when(F.col("_known"), knot), ignorenulls=True).over(w)
     )
-    s = F.col("_x") - F.col("_k._kx")
-    h, m, d0, d1 = (F.col(f"_k.{n}") for n in ("_h", "_m", "_d", "_d1"))
-    linear = F.col("_k._ky") + s * m
+    s = F.col("_x") - F.col("_k._x")
+    y, h, m, d0, d1 = (F.col(f"_k.{n}") for n in ("value", "_h", "_m", "_d", "_d1"))
+    linear = y + s * m
     c2 = (3 * m - 2 * d0 - d1) / h
     c3 = (d0 + d1 - 2 * m) / (h * h)
-    cubic = F.col("_k._ky") + s * (d0 + s * (c2 + s * c3))
+    cubic = y + s * (d0 + s * (c2 + s * c3))
     value = F.coalesce(F.col("value"), F.coalesce(cubic, linear))
     return filled.select(
         *[value.alias("value") if c == "value" else F.col(c) for c in df.columns]
@@ -213,64 +215,71 @@ SPANS = (0.05, 0.2, 0.5)  # fixed values: tweeter, midrange, woofer shares of th
 MIDDLE, FINAL = 0.2, 0.05
 
 
-def _running_line(y: Column, u: str, keys: list[str], span: float) -> dict[str, Column]:
-    """Local straight-line fit around each row over a window of ``span`` of the series."""
-    frame = Window.partitionBy(*keys).orderBy(u).rangeBetween(-span / 2, span / 2)
-    x = F.col(u)
-    n, sxx = F.regr_count(y, x).over(frame), F.regr_sxx(y, x).over(frame)
-    mx, my = F.regr_avgx(y, x).over(frame), F.regr_avgy(y, x).over(frame)
-    sxy = F.regr_sxy(y, x).over(frame)
-    fit = my + F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0)) * (x - mx)
-    leverage = 1 / n + F.coalesce(F.try_divide((x - mx) * (x - mx), sxx), F.lit(0.0))
-    return {"fit": fit, "leverage": leverage}
+def _running_line(y: np.ndarray, span: float) -> tuple[np.ndarray, np.ndarray]:
+    """Local straight-line fit (and leverage) around each row over ``span`` of the series."""
+    n = len(y)
+    x = np.arange(n, dtype=float)
+    half = max(1, int(round(span * n / 2)))
+    lo = np.maximum(0, np.arange(n) - half)
+    hi = np.minimum(n, np.arange(n) + half + 1)
+
+    def window_sum(v: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(v)])
+        return total[hi] - total[lo]
+
+    size = (hi - lo).astype(float)
+    mx, my = window_sum(x) / size, window_sum(y) / size
+    sxx = np.maximum(window_sum(x * x) - size * mx * mx, 0.0)
+    sxy = window_sum(x * y) - size * mx * my
+    flat = sxx < 1e-12
+    slope = np.where(flat, 0.0, sxy / np.where(flat, 1.0, sxx))
+    lean = np.where(flat, 0.0, (x - mx) ** 2 / np.where(flat, 1.0, sxx))
+    return my + slope * (x - mx), 1 / size + lean
+
+
+def smooth_values(y: np.ndarray) -> np.ndarray:
+    """Three running-line fits; at each row the span with the least smoothed
+    cross-validation residual is chosen, the chosen spans are smoothed, the fits are
+    interpolated to that span and smoothed once more."""
+    fits, misses = [], []
+    for span in SPANS:
+        fit, leverage = _running_line(y, span)
+        fits.append(fit)
+        loo = np.abs(y - fit) / np.maximum(1 - leverage, 1e-9)
+        misses.append(_running_line(loo, MIDDLE)[0])
+    best = np.asarray(SPANS)[np.argmin(misses, axis=0)]
+    s = np.clip(_running_line(best, MIDDLE)[0], SPANS[0], SPANS[-1])
+    low = fits[0] + (s - SPANS[0]) / (SPANS[1] - SPANS[0]) * (fits[1] - fits[0])
+    high = fits[1] + (s - SPANS[1]) / (SPANS[2] - SPANS[1]) * (fits[2] - fits[1])
+    return _running_line(np.where(s <= SPANS[1], low, high), FINAL)[0]
 
 
 def super_smoother(df: DataFrame, keys: list[str] = SERIES, value: str = "value") -> DataFrame:
     """Friedman's variable-span smoother over equally weighted rows; adds ``smooth``.
 
-    Three running-line fits; at each row the span with the least smoothed cross-validation
-    residual is chosen, the chosen spans are smoothed, the fits are interpolated to that span
-    and smoothed once more.
+    The spans are shares of the series length, which no window frame can state, so this is a
+    grouped map over one series (bounded by the calendar) with linear-time prefix sums.
     """
-    w = along(keys)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    out = df.withColumn("_u", (F.row_number().over(w) - 1) / n)
-    for i, span in enumerate(SPANS):
-        line = _running_line(F.col(value), "_u", keys, span)
-        out = out.withColumn(f"_f{i}", line["fit"]).withColumn(f"_l{i}", line["leverage"])
-    for i in range(len(SPANS)):
-        miss = F.abs(F.try_divide(F.col(value) - F.col(f"_f{i}"), 1 - F.col(f"_l{i}")))
-        out = out.withColumn(f"_r{i}", F.coalesce(miss, F.lit(float("inf"))))
-    for i in range(len(SPANS)):
-        out = out.withColumn(f"_c{i}", _running_line(F.col(f"_r{i}"), "_u", keys, MIDDLE)["fit"])
-    best = F.least(*[F.col(f"_c{i}") for i in range(len(SPANS))])
-    chosen = F.lit(SPANS[-1])
-    for i in reversed(range(len(SPANS) - 1)):
-        chosen = F.when(F.col(f"_c{i}") <= best, F.lit(SPANS[i])).otherwise(chosen)
-    out = out.withColumn("_s", chosen)
-    out = out.withColumn("_s", _running_line(F.col("_s"), "_u", keys, MIDDLE)["fit"])
-    s = F.greatest(F.lit(SPANS[0]), F.least(F.lit(SPANS[-1]), F.col("_s")))
-    low = (s - SPANS[0]) / (SPANS[1] - SPANS[0])
-    high = (s - SPANS[1]) / (SPANS[2] - SPANS[1])
-    mixed = F.when(
-        s <= SPANS[1], F.col("_f0") + low * (F.col("_f1") - F.col("_f0"))
-    ).otherwise(F.col("_f1") + high * (F.col("_f2") - F.col("_f1")))
-    out = out.withColumn("_y", mixed)
-    out = out.withColumn("smooth", _running_line(F.col("_y"), "_u", keys, FINAL)["fit"])
-    return out.select(*df.columns, "smooth")
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        return pdf.assign(smooth=smooth_values(pdf[value].to_numpy(dtype=float)))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("smooth", T.DoubleType())])
+    return df.groupBy(*keys).applyInPandas(smooth, schema)
 
 
 def iqr_outlier_flag(
     df: DataFrame, keys: list[str] = SERIES, value: str = "value", smooth: str = "smooth"
 ) -> DataFrame:
     """Flag rows whose residual to ``smooth`` leaves [q1 - 3 IQR, q3 + 3 IQR]."""
-    r = df.withColumn("_r", F.col(value) - F.col(smooth))
-    q = r.groupBy(*keys).agg(
-        F.percentile("_r", F.array(F.lit(0.25), F.lit(0.75))).alias("_q")
+    r = df.withColumn("_r", F.col(value) - F.col(smooth)).withColumn(
+        "_q",
+        F.percentile("_r", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys)),
     )
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     outside = (F.col("_r") < q1 - 3 * (q3 - q1)) | (F.col("_r") > q3 + 3 * (q3 - q1))
-    return r.join(q, keys).withColumn("is_outlier", outside).drop("_r", "_q")
+    return r.withColumn("is_outlier", outside).drop("_r", "_q")
 
 
 def iqr_outlier_replace(

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.functions.special import chi2_sf, f_sf, ks_sf
 from tidemark.operators.windows import along, avg_rank, equal_slices, rolling_quantile
 from tidemark.schema import SERIES
+from tidemark.session import cut
 
 HOURS = 24
 K_SLICES = 4
@@ -34,11 +36,11 @@ def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
         .withColumn("w", F.try_divide(F.col("n"), F.col("var")))
     )
     whole = Window.partitionBy(*keys)
-    weighed = hours.withColumn("W", F.sum("w").over(whole)).withColumn(
-        "centre", F.sum(F.col("w") * F.col("mean")).over(whole) / F.col("W")
+    weighed = hours.withColumn("total", F.sum("w").over(whole)).withColumn(
+        "centre", F.sum(F.col("w") * F.col("mean")).over(whole) / F.col("total")
     )
     k = F.lit(float(HOURS))
-    spread = F.pow(1 - F.col("w") / F.col("W"), F.lit(2.0)) / (F.col("n") - 1)
+    spread = F.pow(1 - F.col("w") / F.col("total"), F.lit(2.0)) / (F.col("n") - 1)
     stats = weighed.groupBy(*keys).agg(
         (F.sum(F.col("w") * F.pow(F.col("mean") - F.col("centre"), F.lit(2.0))) / (k - 1)).alias("b"),
         F.sum(spread).alias("s"),
@@ -99,7 +101,7 @@ def kruskal_wallis(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     )
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _solve_ar(moments: pd.Series) -> pd.Series:
     """AR coefficients [c0, phi1, ...] of the order with the least AIC, from moment sums."""
     out = []
@@ -175,7 +177,7 @@ def seasonality_vote(
         .withColumn("src", F.lit("value"))
         .unionByName(residual.withColumn("src", F.lit("residual")))
     )
-    tests = seasonality_tests(both, [*keys, "src"])
+    tests = seasonality_tests(cut(both), [*keys, "src"])  # read by all three tests
     limit = F.when(F.col("src") == "value", alpha).otherwise(alpha_r)
     hits = sum(
         F.when(F.coalesce(F.nanvl(F.col(p), F.lit(1.0)) < limit, F.lit(False)), 1).otherwise(0)
