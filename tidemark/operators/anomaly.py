@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import with_scalar
 from tidemark.schema import SERIES
+from tidemark.session import spread
 
 
 def standard_scale(
@@ -208,7 +209,7 @@ def gpd_fit(df: DataFrame, keys: list[str] = SERIES, peak: str = "peak") -> Data
         return pd.DataFrame({**head, "gamma": [gamma], "sigma": [sigma], "n_peaks": [len(pdf)]})
 
     schema = ", ".join([f"{k} string" for k in keys] + ["gamma double, sigma double, n_peaks long"])
-    return df.select(*keys, peak).groupBy(*keys).applyInPandas(fit, schema)
+    return spread(df.select(*keys, peak), keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def spot_run(
@@ -239,9 +240,5 @@ def spot_run(
         [f"{k} string" for k in keys]
         + ["ts timestamp_ntz, value double, threshold double, alarm boolean"]
     )
-    return (
-        df.filter(F.col("value").isNotNull())
-        .select(*keys, "ts", "value")
-        .groupBy(*keys)
-        .applyInPandas(run, schema)
-    )
+    rows = df.filter(F.col("value").isNotNull()).select(*keys, "ts", "value")
+    return spread(rows, keys).groupBy(*keys).applyInPandas(run, schema)

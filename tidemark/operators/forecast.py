@@ -26,6 +26,7 @@ from tidemark.operators.aggregates import argmin_row, median_daily_iqr
 from tidemark.operators.stattests import levene_test
 from tidemark.operators.windows import along, freeze_after, last_satisfying_point
 from tidemark.schema import SERIES
+from tidemark.session import spread
 
 N_CHANGEPOINTS = 25
 DAILY_ORDER, WEEKLY_ORDER = 3, 5
@@ -210,7 +211,7 @@ def fit_forecaster(history: DataFrame, grid: list[dict], keys: list[str] = SERIE
 
     schema = ", ".join([f"{k} {fields[k]}" for k in keys] + [MODEL_FIELDS])
     featured = with_season(history.select(*keys, "ds", "y"))
-    return featured.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(featured, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def _dot(a: Column, b: Column, start: int, length: int) -> Column:

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import even_sample, pick_edges, position
-from tidemark.session import cut
+from tidemark.session import cut, spread
 
 TILE = 128
 SAMPLES = 32
+ONE_TILE = 1024  # groups up to this many locations are not worth cutting
 
 
 def _distance(dx: Column, dy: Column, metric: str) -> Column:
@@ -56,7 +57,11 @@ def _place(df: DataFrame, edges: DataFrame, by: list[str], sort_key: Column, nam
 
 
 class TileIndex:
-    """Tiles over ``points`` (keys, id, x, y, extra columns), ready for lookups of up to k."""
+    """Tiles over ``points`` (keys, id, x, y, extra columns), ready for lookups of up to k.
+
+    If no key has more than ``ONE_TILE`` locations, each key is its own tile and ``split`` is
+    false: a lookup in the own tile is then already complete.
+    """
 
     def __init__(self, points: DataFrame, keys: list[str], k: int, extra: list[str] = ()):
         self.keys, self.k = list(keys), k
@@ -68,23 +73,28 @@ class TileIndex:
         )
         kept = cut(kept)
         locations = kept.filter("_copy = 1").select(*keys, "x", "y")
-        n = F.col("_n")
-        self.x_edges = _edges(
-            locations, self.keys, F.col("x"), F.ceil(F.sqrt(n / F.lit(TILE)))
-        )
+        largest = locations.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        self.split = largest > ONE_TILE
         strip = [*keys, "strip"]
-        stripped = _place(locations, self.x_edges, self.keys, F.col("x"), "strip")
-        self.run_key = F.struct("y", "x")
-        self.y_edges = _edges(stripped, strip, self.run_key, F.ceil(n / F.lit(TILE)))
-        placed = self.locate(kept)
         tile = [*strip, "tile"]
-        self.tiles = cut(
-            placed.groupBy(*tile).agg(
+        self.run_key = F.struct("y", "x")
+        if self.split:
+            n = F.col("_n")
+            self.x_edges = _edges(
+                locations, self.keys, F.col("x"), F.ceil(F.sqrt(n / F.lit(TILE)))
+            )
+            stripped = _place(locations, self.x_edges, self.keys, F.col("x"), "strip")
+            self.y_edges = _edges(stripped, strip, self.run_key, F.ceil(n / F.lit(TILE)))
+        tiles = (
+            self.locate(kept)
+            .groupBy(*tile)
+            .agg(
                 F.collect_list(F.struct("id", "x", "y", *extra)).alias("_pts"),
                 F.min("x").alias("x0"), F.max("x").alias("x1"),
                 F.min("y").alias("y0"), F.max("y").alias("y1"),
             )
         )
+        self.tiles = cut(tiles) if self.split else tiles
         boxes = self.tiles.drop("_pts")
         self.strip_boxes = boxes.groupBy(*strip).agg(
             F.collect_list(F.struct("tile", "x0", "x1", "y0", "y1")).alias("_boxes"),
@@ -96,11 +106,13 @@ class TileIndex:
 
     def locate(self, df: DataFrame) -> DataFrame:
         """Attach the strip and tile that hold each (x, y)."""
+        if not self.split:
+            return df.withColumns({"strip": F.lit(0), "tile": F.lit(0)})
         placed = _place(df, self.x_edges, self.keys, F.col("x"), "strip")
         return _place(placed, self.y_edges, [*self.keys, "strip"], self.run_key, "tile")
 
 
-def knn_join(
+def nearest_arrays(
     queries: DataFrame,
     points: DataFrame,
     keys: list[str],
@@ -109,13 +121,8 @@ def knn_join(
     max_radius: Column | None = None,
     extra: list[str] = (),
 ) -> DataFrame:
-    """The k nearest ``points`` of each query within its key.
-
-    Both sides carry (keys, id, x, y). Returns (keys, id, x, y, rank, neighbor, distance,
-    extra columns of the neighbour); equal distances rank by neighbour id. A query finds
-    itself if it is among the points. ``max_radius`` is a column of the queries; farther
-    points are left out. Queries of a key without points drop out.
-    """
+    """(keys, id, x, y, best): the k nearest points of each query as a sorted array of
+    (distance, neighbor, extra columns). See ``knn_join``."""
     keys = list(keys)
     index = TileIndex(points, keys, k, list(extra))
     q_cols = [*keys, "id", "x", "y"]
@@ -123,6 +130,10 @@ def knn_join(
         *q_cols, (F.lit(float("inf")) if max_radius is None else max_radius).alias("_limit")
     )
 
+    if not index.split:
+        # the search is the work here: spread the queries over all cores, not over the keys
+        asked = spread(asked, [*keys, "id"])
+
     def nearest(pts: Column) -> Column:
         ranked = F.transform(
             pts,
@@ -133,7 +144,7 @@ def knn_join(
             ),
         )
         close = F.filter(ranked, lambda c: c["distance"] <= F.col("_limit"))
-        return F.slice(F.array_sort(close), 1, k)
+        return F.slice(F.sort_array(close), 1, k)
 
     tile_keys = [*keys, "strip", "tile"]
     own = (
@@ -142,6 +153,9 @@ def knn_join(
         .withColumn("_best", nearest(F.col("_pts")))
         .drop("_pts")
     )
+
+    if not index.split:
+        return own.select(*q_cols, F.col("_best").alias("best"))
     reach = F.when(
         F.size("_best") >= k, F.least(F.col("_limit"), F.element_at("_best", -1)["distance"])
     ).otherwise(F.col("_limit"))
@@ -192,9 +206,30 @@ def knn_join(
         own.select(*q_cols, "_best")
         .unionByName(outward)
         .groupBy(*q_cols)
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best"))
+        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("_best"))), 1, k).alias("best"))
     )
-    return merged.select(*q_cols, F.posexplode("_best").alias("_pos", "_n")).select(
+    return merged
+
+
+def knn_join(
+    queries: DataFrame,
+    points: DataFrame,
+    keys: list[str],
+    k: int,
+    metric: str = "euclidean",
+    max_radius: Column | None = None,
+    extra: list[str] = (),
+) -> DataFrame:
+    """The k nearest ``points`` of each query within its key.
+
+    Both sides carry (keys, id, x, y). Returns (keys, id, x, y, rank, neighbor, distance,
+    extra columns of the neighbour); equal distances rank by neighbour id. A query finds
+    itself if it is among the points. ``max_radius`` is a column of the queries; farther
+    points are left out. Queries of a key without points drop out.
+    """
+    q_cols = [*keys, "id", "x", "y"]
+    best = nearest_arrays(queries, points, keys, k, metric, max_radius, extra)
+    return best.select(*q_cols, F.posexplode("best").alias("_pos", "_n")).select(
         *q_cols,
         (F.col("_pos") + 1).alias("rank"),
         F.col("_n.neighbor").alias("neighbor"),
@@ -205,20 +240,16 @@ def knn_join(
 
 def kth_distance(queries: DataFrame, points: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Distance to the k-th nearest point (the query itself counts if it is a point)."""
-    return knn_join(queries, points, keys, k).filter(F.col("rank") == k).select(
-        *keys, "id", F.col("distance").alias("kth")
-    )
+    best = nearest_arrays(queries, points, keys, k)
+    return best.select(
+        *keys, "id", F.try_element_at("best", F.lit(k))["distance"].alias("kth")
+    ).filter("kth IS NOT NULL")
 
 
-def mean_knn_distance(
-    queries: DataFrame, points: DataFrame, keys: list[str], k: int, name: str
-) -> DataFrame:
-    """Mean distance to the k nearest points, or to all of them if there are fewer."""
-    return (
-        knn_join(queries, points, keys, k)
-        .groupBy(*keys, "id")
-        .agg(F.avg("distance").alias(name))
-    )
+def mean_distance(best: Column) -> Column:
+    """Mean distance to the found points (fewer than k if the key has fewer); NULL if none."""
+    total = F.aggregate(best, F.lit(0.0), lambda acc, p: acc + p["distance"])
+    return F.try_divide(total, F.size(best))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions.geometry import rotate_2d
 from tidemark.operators.windows import along, gap_hours, rolling_triangular_mean
 from tidemark.schema import SERIES
+from tidemark.session import spread
 
 MAX_MISSING_RATIO = 0.35
 TWO_WEEKS_HOURS = 14 * 24
@@ -266,7 +267,7 @@ def super_smoother(df: DataFrame, keys: list[str] = SERIES, value: str = "value"
         return pdf.assign(smooth=smooth_values(pdf[value].to_numpy(dtype=float)))
 
     schema = T.StructType([*df.schema.fields, T.StructField("smooth", T.DoubleType())])
-    return df.groupBy(*keys).applyInPandas(smooth, schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(smooth, schema)
 
 
 def iqr_outlier_flag(

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 50_000
-MAX_SLICES = 1024
+from tidemark.session import cut
+
+SLICE_ROWS = 250_000
+MAX_SLICES = 4096
 SAMPLES_PER_SLICE = 16
 
 
@@ -50,11 +52,24 @@ def cumulative(
 
     Adds ``<w>_below`` (total over smaller values) and ``<w>_total`` for each weight, and
     ``distinct_below``. ``df`` must hold one row per (keys, value).
+
+    The input is written once, since several branches read it. If its largest group fits one
+    slice, plain windows do; only otherwise are the groups cut into slices.
     """
     keys = list(keys)
-    one = [] if keys else [F.lit(1).alias("_all")]
-    df = df.select("*", *one) if one else df
+    df = cut(df if keys else df.withColumn("_all", F.lit(1)))
     by = keys or ["_all"]
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= slice_rows:
+        whole = Window.partitionBy(*by)
+        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        out = df.select(
+            "*",
+            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
+            F.count(F.lit(1)).over(before).alias("distinct_below"),
+            *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_below") for w in weights],
+        )
+        return out if keys else out.drop("_all")
 
     sizes = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -12,7 +12,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tidemark.functions.special import chi2_sf, f_sf, ks_sf
 from tidemark.operators.windows import along, avg_rank, equal_slices, rolling_quantile
 from tidemark.schema import SERIES
-from tidemark.session import cut
 
 HOURS = 24
 K_SLICES = 4
@@ -177,7 +176,8 @@ def seasonality_vote(
         .withColumn("src", F.lit("value"))
         .unionByName(residual.withColumn("src", F.lit("residual")))
     )
-    tests = seasonality_tests(cut(both), [*keys, "src"])  # read by all three tests
+    # one exchange on the key, reused by the windows and aggregates of all three tests
+    tests = seasonality_tests(both.repartition(*keys, "src"), [*keys, "src"])
     limit = F.when(F.col("src") == "value", alpha).otherwise(alpha_r)
     hits = sum(
         F.when(F.coalesce(F.nanvl(F.col(p), F.lit(1.0)) < limit, F.lit(False)), 1).otherwise(0)

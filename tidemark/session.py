@@ -41,6 +41,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash the rows on their key over all cores before per-key Python or search work.
+
+    An explicit partition count keeps adaptive execution from merging small partitions: here
+    the work per byte is high, and few bytes would end up on one core.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
