@@ -118,12 +118,14 @@ def pot_quantile(
 def grimshaw(peaks: np.ndarray, grid: int = 64) -> tuple[float, float]:
     """Maximum-likelihood (gamma, sigma) of a generalised Pareto tail, by Grimshaw's reduction.
 
-    Candidates are the roots of u(t) v(t) = 1 on the two admissible intervals, bracketed on a
-    regular grid and bisected, plus the exponential tail (gamma = 0). Deterministic.
+    Candidates are the roots of u(t) v(t) = 1, bracketed on fixed grids over
+    (-1 / max, 0) and (0, 2 (mean - min) / min^2] and bisected, plus the exponential tail
+    (gamma = 0). The grids are logarithmic towards zero; closer to zero than 1e-4 / mean the
+    tail is exponential for all purposes. Deterministic.
     """
     y = np.asarray(peaks, dtype=float)
     mean, low, high = y.mean(), y.min(), y.max()
-    best = (0.0, mean)
+    best = (0.0, float(mean))
     best_ll = -y.size * (1.0 + np.log(mean))
     if low == high:
         return best
@@ -132,28 +134,30 @@ def grimshaw(peaks: np.ndarray, grid: int = 64) -> tuple[float, float]:
         s = 1.0 + np.multiply.outer(t, y)
         return (1.0 + np.log(s).mean(axis=-1)) * (1.0 / s).mean(axis=-1) - 1.0
 
-    eps = min(1e-8, 1.0 / high / grid)
-    spans = [
-        (-1.0 / high + eps, -eps),
-        (2 * (mean - low) / (mean * low), 2 * (mean - low) / low**2),
-    ]
+    near, edge = 1e-4 / mean, 1.0 / high
+    left = np.concatenate(
+        [
+            -edge * (1 - np.geomspace(1e-8, 0.5, grid)),
+            -np.geomspace(0.5 * edge, near, grid)[1:] if near < 0.5 * edge else [],
+        ]
+    )
+    far = 2 * (mean - low) / low**2
+    right = np.geomspace(near, far, 2 * grid) if far > near else np.zeros(0)
     roots: list[float] = []
-    for lo, hi in spans:
-        if not (np.isfinite(lo) and np.isfinite(hi)) or lo >= hi:
+    for t in (left, right):
+        if len(t) < 2:
             continue
-        t = np.linspace(lo, hi, grid + 2)
         f = w(t)
         turn = np.flatnonzero(np.sign(f[:-1]) * np.sign(f[1:]) < 0)
+        if not len(turn):
+            continue
         a, b, fa = t[turn], t[turn + 1], f[turn]
-        for _ in range(60):
+        for _ in range(50):
             m = (a + b) / 2
-            fm = w(m)
-            left = np.sign(fm) == np.sign(fa)
-            a, b = np.where(left, m, a), np.where(left, b, m)
+            same = np.sign(w(m)) == np.sign(fa)
+            a, b = np.where(same, m, a), np.where(same, b, m)
         roots += list((a + b) / 2)
     for t in roots:
-        if t == 0 or np.any(1 + t * y <= 0):
-            continue
         gamma = np.log1p(t * y).mean()
         sigma = gamma / t
         if gamma == 0 or sigma <= 0:

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tidemark.functions.special import chi2_sf, f_sf, ks_sf
 from tidemark.operators.windows import along, avg_rank, equal_slices, rolling_quantile
 from tidemark.schema import SERIES
+from tidemark.session import cut
 
 HOURS = 24
 K_SLICES = 4
@@ -19,8 +20,8 @@ K_SLICES = 4
 LONE_SLICE_PATTERNS = [[1, 3, 1, 1], [3, 1, 1, 1], [1, 1, 3, 1]]
 
 
-def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Welch ANOVA of the 24 hour-of-day groups -> f, df1, df2, p.
+def welch_statistic(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Welch ANOVA of the 24 hour-of-day groups -> f, df1, df2.
 
     The correction factor uses (k + 2), as the programs this reproduces do.
     """
@@ -32,7 +33,10 @@ def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
             F.avg("value").alias("mean"),
             F.var_samp("value").alias("var"),
         )
-        .withColumn("w", F.try_divide(F.col("n"), F.col("var")))
+        # an hour without variance makes the statistic undefined (NaN), as infinite weight does
+        .withColumn(
+            "w", F.when(F.col("var") == 0, F.lit(float("inf"))).otherwise(F.col("n") / F.col("var"))
+        )
     )
     whole = Window.partitionBy(*keys)
     weighed = hours.withColumn("total", F.sum("w").over(whole)).withColumn(
@@ -49,11 +53,16 @@ def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
         (F.col("b") / (1 + 2 * (k + 2) / (k * k - 1) * F.col("s"))).alias("f"),
         (k - 1).alias("df1"),
         F.try_divide(k * k - 1, 3 * F.col("s")).alias("df2"),
-    ).withColumn("p", f_sf("f", "df1", "df2"))
+    )
 
 
-def friedman_test(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Friedman test: hours are treatments, complete days are blocks, ties corrected."""
+def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Welch ANOVA with its p-value."""
+    return welch_statistic(df, keys).withColumn("p", f_sf("f", "df1", "df2"))
+
+
+def friedman_statistic(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Friedman statistic: hours are treatments, complete days are blocks, ties corrected."""
     day = [*keys, "doy"]
     rows = df.filter(F.col("value").isNotNull()).select(
         *keys, F.dayofyear("ts").alias("doy"), F.hour("ts").alias("hour"), "value"
@@ -72,14 +81,17 @@ def friedman_test(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     # a group of t ties adds t^3 - t, i.e. t^2 - 1 for each of its t rows
     corr = 1 - F.sum("tie") / (n * F.lit(k * (k * k - 1)))
     raw = 12.0 / (n * F.lit(k * (k + 1))) * F.sum(F.col("R") * F.col("R")) - 3 * n * F.lit(k + 1)
-    return (
-        per_hour.groupBy(*keys)
-        .agg(F.try_divide(raw, corr).alias("chi2"), n.alias("n_days"))
-        .withColumn("p", chi2_sf("chi2", F.lit(k - 1)))
+    return per_hour.groupBy(*keys).agg(
+        F.try_divide(raw, corr).alias("chi2"), n.alias("n_days")
     )
 
 
-def kruskal_wallis(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+def friedman_test(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Friedman test with its p-value."""
+    return friedman_statistic(df, keys).withColumn("p", chi2_sf("chi2", F.lit(HOURS - 1.0)))
+
+
+def kruskal_statistic(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Kruskal-Wallis H of the hour groups, ties corrected; H is NULL if all values agree."""
     rows = df.filter(F.col("value").isNotNull())
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "value"))
@@ -93,13 +105,16 @@ def kruskal_wallis(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     n = F.sum("n")
     corr = 1 - F.try_divide(F.sum("tie"), n * n * n - n)
     raw = 12 / (n * (n + 1)) * F.sum(F.col("R") * F.col("R") / F.col("n")) - 3 * (n + 1)
-    return (
-        per_hour.groupBy(*keys)
-        .agg(F.try_divide(raw, corr).alias("h"), (F.count(F.lit(1)) - 1.0).alias("df"))
-        .withColumn("p", chi2_sf("h", "df"))
+    return per_hour.groupBy(*keys).agg(
+        F.try_divide(raw, corr).alias("h"), (F.count(F.lit(1)) - 1.0).alias("df")
     )
 
 
+def kruskal_wallis(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """Kruskal-Wallis test with its p-value."""
+    return kruskal_statistic(df, keys).withColumn("p", chi2_sf("h", "df"))
+
+
 @pandas_udf(ArrayType(DoubleType()))
 def _solve_ar(moments: pd.Series) -> pd.Series:
     """AR coefficients [c0, phi1, ...] of the order with the least AIC, from moment sums."""
@@ -152,13 +167,25 @@ def ar_residual(df: DataFrame, max_p: int = 3, keys: list[str] = SERIES) -> Data
 
 
 def seasonality_tests(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """p-values of the three tests per series. All-equal values count as p = 0 in H."""
-    welch = welch_seasonality(df, keys).select(*keys, F.col("p").alias("p_welch"))
-    fried = friedman_test(df, keys).select(*keys, F.col("p").alias("p_friedman"))
-    krusk = kruskal_wallis(df, keys).select(
-        *keys, F.when(F.col("h").isNull(), F.lit(0.0)).otherwise(F.col("p")).alias("p_kruskal")
+    """p-values of the three tests per series. All-equal values count as p = 0 in H.
+
+    The statistics are joined first, so the p-values are one Python step over one row per
+    series.
+    """
+    stats = (
+        welch_statistic(df, keys)
+        .join(friedman_statistic(df, keys), keys, "full")
+        .join(kruskal_statistic(df, keys), keys, "full")
+    )
+    return stats.select(
+        *keys, "h",
+        f_sf("f", "df1", "df2").alias("p_welch"),
+        chi2_sf("chi2", F.lit(HOURS - 1.0)).alias("p_friedman"),
+        chi2_sf("h", "df").alias("_p_kruskal"),
+    ).select(
+        *keys, "p_welch", "p_friedman",
+        F.when(F.col("h").isNull(), F.lit(0.0)).otherwise(F.col("_p_kruskal")).alias("p_kruskal"),
     )
-    return welch.join(fried, keys, "full").join(krusk, keys, "full")
 
 
 def seasonality_vote(
@@ -176,8 +203,7 @@ def seasonality_vote(
         .withColumn("src", F.lit("value"))
         .unionByName(residual.withColumn("src", F.lit("residual")))
     )
-    # one exchange on the key, reused by the windows and aggregates of all three tests
-    tests = seasonality_tests(both.repartition(*keys, "src"), [*keys, "src"])
+    tests = seasonality_tests(cut(both), [*keys, "src"])  # read by all three tests
     limit = F.when(F.col("src") == "value", alpha).otherwise(alpha_r)
     hits = sum(
         F.when(F.coalesce(F.nanvl(F.col(p), F.lit(1.0)) < limit, F.lit(False)), 1).otherwise(0)
