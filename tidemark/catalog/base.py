@@ -47,11 +47,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    import os
-    here = os.path.dirname(__file__)
     for module in MODULES:
-        if not os.path.exists(os.path.join(here, module + ".py")):
-            continue
         importlib.import_module(f"tidemark.catalog.{module}")
 
 

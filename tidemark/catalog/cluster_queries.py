@@ -319,7 +319,7 @@ def rbf_svm_grid(spark, d):
     """Grid search per KPI; five event types, hence the lower series minimum."""
     pts = cut(merged_points(spark, d))
     parts = [
-        cluster.rbf_svm_grid(pts.filter(F.col("kpi") == kpi), min_series=5).select(
+        cluster.rbf_svm_grid(pts.filter(F.col("kpi") == kpi), min_series=5, max_iter=8).select(
             F.lit(kpi).alias("kpi"), "gamma", rnd("accuracy", 3).alias("accuracy"), "chosen"
         )
         for kpi in KPIS
