@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-SLICE_ROWS = 250_000
+SLICE_ROWS = 1_000_000
 MAX_SLICES = 4096
 SAMPLES_PER_SLICE = 16
 
