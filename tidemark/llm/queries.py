@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, rule_ledger, spaced_seeds, wavelet
+from tidemark.llm import byte_bpe, rule_ledger, setsketch, spaced_seeds, wavelet
 from tidemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op3(spark, d):
     return spaced_seeds.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op5_setsketch")
+def op5(spark, d):
+    """Near-duplicate components of all documents."""
+    return setsketch.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op8_prefix_bpe")
 def op8(spark, d):
     """Byte-level BPE ids of all documents and their decoding, as digests."""
