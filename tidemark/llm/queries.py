@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, rule_ledger, setsketch, spaced_seeds, wavelet
+from tidemark.llm import byte_bpe, byte_gru, fm_toxicity, rule_ledger, setsketch, spaced_seeds, wavelet
 from tidemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,18 @@ def op5(spark, d):
     return setsketch.near_duplicates(table(spark, d, "documents"))
 
 
+@query("op6_byte_gru")
+def op6(spark, d):
+    """Language of all documents; the network learns from the labelled two thirds."""
+    return byte_gru.identify(table(spark, d, "documents"))
+
+
+@query("op7_fm_toxicity")
+def op7(spark, d):
+    """Toxicity scores of all documents."""
+    return fm_toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op8_prefix_bpe")
 def op8(spark, d):
     """Byte-level BPE ids of all documents and their decoding, as digests."""

@@ -37,9 +37,9 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
-def word_hashes(texts: Texts) -> tuple[np.ndarray, Words]:
-    """Fingerprints that ignore case and punctuation behind a word; words of punctuation only
-    are left out."""
+def plain_words(texts: Texts) -> tuple[Hasher, Words]:
+    """Words without the punctuation behind them, and a hasher that ignores case; words of
+    punctuation only are left out."""
     words = split(texts)
     end = words.end.copy()
     while True:
@@ -50,7 +50,12 @@ def word_hashes(texts: Texts) -> tuple[np.ndarray, Words]:
     some = end > words.start
     first = np.searchsorted(np.flatnonzero(some), words.first)
     kept = Words(words.start[some], end[some], words.doc[some], first)
-    return Hasher(texts.data, True).of(kept.start, kept.end), kept
+    return Hasher(texts.data, True), kept
+
+
+def word_hashes(texts: Texts) -> tuple[np.ndarray, Words]:
+    hasher, words = plain_words(texts)
+    return hasher.of(words.start, words.end), words
 
 
 def seeds(hashes: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
