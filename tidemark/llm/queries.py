@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, byte_gru, fm_toxicity, rule_ledger, setsketch, spaced_seeds, wavelet
+from tidemark.llm import (
+    byte_bpe,
+    byte_gru,
+    fm_toxicity,
+    link_trust,
+    pii_sanitise,
+    rule_ledger,
+    setsketch,
+    spaced_seeds,
+    tree_extract,
+    wavelet,
+)
 from tidemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +63,21 @@ def op3(spark, d):
     return spaced_seeds.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query("op4_link_trust")
+def op4(spark, d):
+    """Verdict on every page's url by rules and link-graph propagation."""
+    return link_trust.filter_pages(table(spark, d, "pages"), URL_RULES)
+
+
 @query("op5_setsketch")
 def op5(spark, d):
     """Near-duplicate components of all documents."""
@@ -78,3 +104,15 @@ def op8(spark, d):
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
+
+
+@query("op9_tree_extract")
+def op9(spark, d):
+    """Main text of every page."""
+    return tree_extract.extract(table(spark, d, "pages"))
+
+
+@query("op10_pii_sanitise")
+def op10(spark, d):
+    """Personal data of all documents and the terms that reveal it."""
+    return pii_sanitise.detect(table(spark, d, "documents"))
