@@ -158,8 +158,14 @@ def open_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return ids, np.concatenate(([0], np.cumsum(sizes))), WaveletMatrix(n, planes)
 
 
-def _word_encoder(vocabulary: str):
-    """Ids of white-space separated chunks; the vocabulary never joins across white space."""
+_LOADED: dict[str, tuple[PieceCache, int]] = {}
+
+
+def _word_encoder(vocabulary: str) -> tuple[PieceCache, int]:
+    """Cache of the ids of white-space separated chunks, and the bits of an id. The vocabulary
+    never joins across white space. A Python worker keeps it for its later tasks."""
+    if vocabulary in _LOADED:
+        return _LOADED[vocabulary]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -169,7 +175,9 @@ def _word_encoder(vocabulary: str):
         texts = [c.decode("utf-8") for c in chunks]
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, (tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length()
+    bits = (tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length()
+    _LOADED[vocabulary] = PieceCache(encode, np.uint16 if bits <= 16 else np.uint32), bits
+    return _LOADED[vocabulary]
 
 
 def write_shards(
@@ -207,8 +215,7 @@ def write_shards(
 
         for batch in batches:
             if cache is None:
-                encode, bits = _word_encoder(vocabulary)
-                cache = PieceCache(encode, np.uint16 if bits <= 16 else np.uint32)
+                cache, bits = _word_encoder(vocabulary)
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
             for lo, hi, texts in slices(batch.column(1), SLICE):
