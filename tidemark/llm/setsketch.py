@@ -6,10 +6,11 @@ Sketches merge by the element-wise maximum. Bands of register values give candid
 likelihood of two sketches estimates their similarity; pairs that may reach the threshold are
 confirmed on the full sets.
 
-Work that could grow with a group of copies is kept linear: equal sets are one class before any
-comparison, a bucket first only links its members to one leader, and only buckets that then
-still hold several components are compared further, in blocks of bounded size, between different
-components and best partners first, until no untested candidate is left.
+Rows that could grow with a group of copies are kept linear: equal sets are one class before any
+comparison, and a bucket first only links its members to one leader. Buckets that then still
+hold several components are compared further in blocks of bounded size: sketches tell which
+members may be linked to another component, full sets decide, and a block returns only links
+that join components.
 
 Edge cases: null and empty texts (or texts without words) have no shingles and are linked with
 nothing; 1 to 4 words make one shingle; repeated rows fall in one component; an empty table gives
@@ -38,8 +39,9 @@ DEALS = 3  # the registers are dealt into bands so many times, in different orde
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 # 4.5 standard deviations of the estimate (at the threshold) below it
 ESTIMATE_FROM = PERCENT / 100 - 4.5 * (PERCENT * (100 - PERCENT) / 1e4 / REGISTERS) ** 0.5
-BLOCK = 256
-PARTNERS = 8
+BLOCK = 1024  # sketches compared in one block (two blocks meet in a group)
+BLOCK_SHINGLES = 1 << 17  # shingles of the sets compared in one block
+BAND_BITS = 7  # the low bits of a band key are the number of its band
 
 _SEED = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = (_SEED[:REGISTERS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -110,6 +112,15 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return np.where(equal == a.shape[1], 1.0, best)
 
 
+def set_fingerprint(distinct: np.ndarray) -> int:
+    """Fingerprint of one set of distinct shingles."""
+    return int(mix(np.add.reduce(_spread(distinct), keepdims=True)).view(np.int64)[0])
+
+
+def _spread(shingle: np.ndarray) -> np.ndarray:
+    return mix(shingle ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (fingerprint of the set, null if empty) and registers."""
 
@@ -125,7 +136,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         if some.size:
             distinct = values[once]
             starts = first[:-1][some]
-            sums = np.add.reduceat(mix(distinct ^ np.uint64(0x5851F42D4C957F2D)), starts)
+            sums = np.add.reduceat(_spread(distinct), starts)
             rows = registers(distinct, np.append(starts, distinct.size))
             for i, s, r in zip(some.tolist(), mix(sums).view(np.int64).tolist(), rows):
                 ids[i], sketches[i] = s, r.tobytes()
@@ -152,7 +163,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
                     key = np.full(len(regs), np.uint64(i + 1))
                     for r in band:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, r])
-                    keys[i] = key
+                    keys[i] = key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(i)
                 sets = np.tile(part.column(0).to_numpy(), len(BANDS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(sets)], ["key", "set_id"]
@@ -180,9 +191,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def shingle_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_id, shingles) of the wanted set_ids, from the texts of their representatives."""
     owner = classes.join(wanted, "set_id").select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
 
@@ -191,59 +201,99 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         values, doc = shingles(texts)
         cuts = np.searchsorted(doc, np.arange(n + 1))
         sets = [np.unique(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        ids = [
-            int(mix(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)).view(np.int64)[0]) if s.size else None
-            for s in sets
-        ]
-        return {"set_id": ids, "shingles": [s.view(np.int64) for s in sets]}
+        return {"set_id": [set_fingerprint(s) if s.size else None for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
     fields = [("set_id", pa.int64()), ("shingles", pa.list_(pa.int64()))]
     full = per_text(texts, [], "text", fields, lambda: work).join(wanted, "set_id", "left_semi")
-    full = cut(full.dropDuplicates(["set_id"]))
+    return cut(full.dropDuplicates(["set_id"]))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    full = shingle_sets(wanted, docs, classes)
     side = lambda n: full.select(F.col("set_id").alias(n), F.col("shingles").alias(f"s_{n}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     enough = 100 * shared >= PERCENT * (F.size("s_a") + F.size("s_b") - shared)
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, partners: int) -> DataFrame:
-    """Likely pairs between different components of a bucket, at most ``partners`` best ones per
-    member and other component; ``more`` says that some were left for a later round."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn(
-        "mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("key", "set_id", "root", "n_shingles", "registers", "mine", other).select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"),
-        "mine", "other", "set_id", "root", "n_shingles", "registers",
-    )
+def _in_blocks(members: DataFrame, blocks) -> DataFrame:
+    """Deal the members of every bucket into blocks and pair each block with each: ``group`` is
+    one pair of blocks; rows whose ``mine`` and ``other`` agree meet inside their own block."""
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(blocks), F.lit(1)).cast("int").alias("_n"))
+    mine = F.pmod(F.xxhash64("set_id"), F.col("_n")).cast("int")
+    dealt = members.join(sizes, "key").withColumn("mine", mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    pair = (F.col("key"), F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.withColumn("group", F.xxhash64(*pair)).drop("_n")
+
+
+def live_members(members: DataFrame) -> DataFrame:
+    """(key, set_id, root) of the members that may be linked to another component of their
+    bucket, by their sketches. A pair counts in the first band it shares only."""
 
     def run(table: pa.Table) -> pa.Table:
         regs = _matrix(table["registers"])
-        root, n = table["root"].to_numpy(), table["n_shingles"].to_numpy()
-        mine, other, ids = (table[c].to_numpy() for c in ("mine", "other", "set_id"))
-        a, b, more = [], [], []
-        for i in range(len(ids)):
-            y = np.flatnonzero((root != root[i]) & ((mine != mine[i]) | (mine[i] == other[i])))
-            y = y[(100 * np.minimum(n[y], n[i]) >= PERCENT * np.maximum(n[y], n[i]))]
-            equal = (regs[y] == regs[i]).sum(axis=1)
-            y = y[equal >= REGISTERS * (ESTIMATE_FROM - 0.1)]
-            if not y.size:
+        root, n, key = (table[c].to_numpy() for c in ("root", "n_shingles", "key"))
+        mine, other = table["mine"].to_numpy(), table["other"].to_numpy()
+        live = np.zeros(len(root), bool)
+        for i in range(len(root) - 1):
+            rest = slice(i + 1, None)
+            y = (root[rest] != root[i]) & ((mine[rest] != mine[i]) | (mine[i] == other[i]))
+            y &= 100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])
+            y = np.flatnonzero(y) + i + 1
+            equal = regs[y] == regs[i]
+            likely = equal.sum(axis=1) >= REGISTERS * ESTIMATE_FROM
+            y, equal = y[likely], equal[likely]
+            if y.size:
+                band = int(key[i]) & ((1 << BAND_BITS) - 1)
+                y = y[~equal[:, BANDS[:band]].all(axis=2).any(axis=1)]
+                live[y] = True
+                live[i] |= bool(y.size)
+        return table.filter(pa.array(live)).select(["key", "set_id", "root"])
+
+    placed = _in_blocks(members, F.count("*") / BLOCK)
+    return placed.groupBy("group").applyInArrow(run, "key bigint, set_id bigint, root bigint").distinct()
+
+
+def joining_links(members: DataFrame) -> DataFrame:
+    """(a, b): exact links between components of a bucket, in each block at most one less than
+    it has components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, root, mine, other = (table[c].to_numpy() for c in ("set_id", "root", "mine", "other"))
+        lists = table["shingles"].combine_chunks()
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        size = np.diff(cuts)
+        part = np.unique(root, return_inverse=True)[1]
+        mark = np.zeros(number.size + 1, np.int64)
+        a, b = [], []
+        for i in np.argsort(np.bincount(part)[part], kind="stable").tolist():  # small components first
+            if not ((part != part[i]) & ((mine != mine[i]) | (mine[i] == other[i]))).any():
                 continue
-            j = similarity(np.broadcast_to(regs[i], (y.size, REGISTERS)), regs[y], np.full(y.size, n[i]), n[y])
-            y, j = y[j >= ESTIMATE_FROM], j[j >= ESTIMATE_FROM]
-            order = np.lexsort((ids[y], -j, root[y]))
-            y = y[order]
-            place = np.arange(y.size) - np.searchsorted(root[y], root[y])
-            for k in y[place < partners].tolist():
-                a.append(min(ids[i], ids[k]))
-                b.append(max(ids[i], ids[k]))
-                more.append(bool(place.max() >= partners))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+            own = number[cuts[i] : cuts[i + 1]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[number], cuts[:-1])
+            mark[own] = 0
+            near = 100 * shared >= PERCENT * (size + size[i] - shared)
+            near &= (mine != mine[i]) | (mine[i] == other[i])
+            for k in np.flatnonzero(near & (part != part[i])).tolist():
+                if part[k] != part[i]:
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+                    part[part == part[k]] = part[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    placed = _in_blocks(members, F.sum(F.size("shingles")) / BLOCK_SHINGLES)
+    return placed.groupBy("group").applyInArrow(run, "a bigint, b bigint").distinct()
+
 
-    pairs = placed.groupBy("group").applyInArrow(run, "a bigint, b bigint, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+def _components(links: DataFrame) -> DataFrame:
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return cut(connected_components(nodes, edges, []).select(F.col("node").alias("set_id"), "root"))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -252,30 +302,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     full = keys.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("_last"))
     full = full.filter("leader < _last").select("key", "leader")
     buckets = cut(keys.join(full, "key").filter("set_id > leader").select("key", "leader", "set_id"))
-    tested = cut(likely(buckets.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct(), classes))
-    links = cut(confirm(tested, docs, classes))
-    partners = PARTNERS
-    while True:
-        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = cut(connected_components(nodes, edges, []).select(F.col("node").alias("set_id"), "root"))
-        # the leader has been compared with all; other members count where components differ
-        members = buckets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        mixed = members.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-        mixed = mixed.filter("_lo < _hi").select("key")
-        members = members.join(mixed, "key", "left_semi").join(
-            classes.select("set_id", "n_shingles", "registers"), "set_id"
-        )
-        found = cut(_open_pairs(members, partners))
-        fresh = cut(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        more = found.agg(F.max("more").alias("m"), F.count("*").alias("n")).first()
-        if fresh.isEmpty():
-            if not more.m:
-                return roots
-        else:
-            links = cut(links.unionByName(confirm(fresh, docs, classes)))
-            tested = cut(tested.unionByName(fresh))
-        partners *= 4
+    stars = buckets.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
+    links = cut(confirm(cut(likely(stars, classes)), docs, classes))
+    roots = _components(links)
+    # the leader has been compared with all; other members count where components differ
+    members = buckets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    members = members.join(mixed.filter("_lo < _hi").select("key"), "key", "left_semi")
+    members = members.join(classes.select("set_id", "n_shingles", "registers"), "set_id")
+    live = cut(live_members(members))
+    sets = shingle_sets(live.select("set_id").distinct(), docs, classes)
+    more = cut(joining_links(live.join(sets, "set_id")))
+    return roots if more.isEmpty() else _components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
