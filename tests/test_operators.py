@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
-from tidemark.operators import anomaly, cluster, neighbors, quality, ranking
+from tidemark.operators import anomaly, cluster, neighbors, quality, ranking, reshape, stattests
 from tidemark.operators import forecast as fc
 from tidemark.operators.learning import fp_growth
 from tidemark.plans import forecasting, pipelines
@@ -126,11 +126,10 @@ def brute_knn(q, p, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
-@pytest.mark.parametrize("one_tile", [1024, 16])
-def test_knn_matches_brute_force(spark, monkeypatch, metric, one_tile):
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_knn_matches_brute_force(spark, monkeypatch, metric, tile):
     """Small tiles force the strip, run and box search; a third of the points coincide."""
-    monkeypatch.setattr(neighbors, "ONE_TILE", one_tile)
-    monkeypatch.setattr(neighbors, "TILE", 8)
+    monkeypatch.setattr(neighbors, "TILE", tile)
     rng = np.random.default_rng(1)
     xy = np.round(rng.normal(0, 1, (300, 2)), 2)
     xy[:100] = (0.5, 0.5)
@@ -197,20 +196,24 @@ def test_connected_components_of_a_long_path(spark):
     assert {roots[f"n{i:03d}"] for i in range(n)} == {"n000"} and roots["z"] == "z"
 
 
-def test_concave_hull_covers_its_points():
-    rng = np.random.default_rng(4)
-    at, r = np.linspace(0, 2 * math.pi, 80, endpoint=False), rng.uniform(0.9, 1.0, 80)
-    pts = np.column_stack([r * np.cos(at), r * np.sin(at)])
-    hull = cluster.concave_hull(pts)
-    assert hull is not None and cluster._covers(hull, pts)
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_hull_boundary_is_the_rim(spark, monkeypatch, tile):
+    """Rings of points: the outer ring is the boundary, whatever the tiles."""
+    monkeypatch.setattr(neighbors, "TILE", tile)
+    turns = np.linspace(0, 2 * math.pi, 24, endpoint=False)
+    rows = [("k", "c", f"r{r}-{i:02d}", r * math.cos(a + r), r * math.sin(a + r)) for r in range(1, 6) for i, a in enumerate(turns)]
+    rows += [("k", "c", "r1-00b", *rows[0][3:]), ("k", "two", "a", 0.0, 0.0), ("k", "two", "b", 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "kpi string, label string, id string, x double, y double")
+    out = cluster.hull_boundary(df).toPandas()
+    assert {f"r5-{i:02d}" for i in range(24)} <= set(out.id) and set(out.label) == {"c"}
+    assert not {i for i in out.id if i[:2] in ("r2", "r3")}
 
 
-def test_large_cluster_hull_is_reduced(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "EXACT_HULL_POINTS", 50)
-    pts = np.random.default_rng(5).uniform(0, 1, (400, 2))
-    df = spark.createDataFrame([("k", "c", float(a), float(b)) for a, b in pts], "kpi string, label string, x double, y double")
-    out = cluster.hull_boundary(df).toPandas()
-    assert out.x.min() == pytest.approx(pts[:, 0].min()) and len(out) > 5
+def test_days_of_two_years_stay_apart(spark):
+    ts = [dt.datetime(y, 3, d, h) for y in (2023, 2024) for d in (1, 2) for h in range(24)]
+    df = spark.createDataFrame([("k", "s", t, float(i % 29)) for i, t in enumerate(ts)], "kpi string, dim_key string, ts timestamp_ntz, value double")
+    assert reshape.hour_by_day_pivot(df).count() == 4
+    assert stattests.friedman_test(df).first().n_days == 4
 
 
 def test_smote_reaches_the_ratio(spark):

@@ -222,11 +222,21 @@ def reassign_between(spark, d):
     return cluster.reassign_between(lab, cluster.main_label(lab), minor, noise)
 
 
-@query("hull_boundary")
+@query(
+    "hull_boundary",
+    f"""WITH {LAB_SQL}, loc AS MATERIALIZED (SELECT kpi, label, x, y, min(id) AS id FROM lab
+      WHERE label <> '-1' GROUP BY 1, 2, 3, 4),
+    {knn_sql('nn', 'loc', 'loc', 9, "a.label = b.label", extra=", a.label, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t")},
+    g AS (SELECT *, t - lag(t) OVER w AS step, first_value(t) OVER w AS t0 FROM nn WHERE d > 0
+          WINDOW w AS (PARTITION BY kpi, label, id ORDER BY t)),
+    h AS (SELECT kpi, label, id, x, y, greatest(min(t0) - max(t) + 2 * pi(), coalesce(max(step), 0)) AS gap
+          FROM g GROUP BY 1, 2, 3, 4, 5)
+    SELECT kpi, label, id, {rsql('x')} AS x, {rsql('y')} AS y, {rsql('gap')} AS gap FROM h WHERE gap > 5 * pi() / 6""",
+)
 def hull_boundary(spark, d):
     lab = labelled(spark, d).filter("label <> '-1'")
     out = cluster.hull_boundary(lab)
-    return out.select("kpi", "label", "seq", rnd("x").alias("x"), rnd("y").alias("y"))
+    return out.select("kpi", "label", "id", *[rnd(c).alias(c) for c in ("x", "y", "gap")])
 
 
 @query("merge_minor_clusters")

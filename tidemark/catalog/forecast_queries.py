@@ -352,7 +352,7 @@ def additive_violation(spark, d):
     return shape.select(*SERIES, fc.additive_violation(shape).alias("violation"))
 
 
-IQR_SQL = """di AS (SELECT kpi, dim_key, dayofyear(ds) AS doy,
+IQR_SQL = """di AS (SELECT kpi, dim_key, CAST(ds AS DATE) AS day,
     quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS q FROM hist GROUP BY 1, 2, 3),
   iq AS (SELECT kpi, dim_key, quantile_cont(q, 0.5) AS iqr FROM di GROUP BY 1, 2)"""
 

@@ -27,8 +27,8 @@ def welch_seasonality(spark, d):
 
 @query(
     "friedman_test",
-    f"""WITH {EH_SQL}, f AS (SELECT *, dayofyear(ts) AS doy, hour(ts) AS h, count(*) OVER
-         (PARTITION BY kpi, dim_key, dayofyear(ts)) AS dn FROM eh),
+    f"""WITH {EH_SQL}, f AS (SELECT *, CAST(ts AS DATE) AS doy, hour(ts) AS h, count(*) OVER
+         (PARTITION BY kpi, dim_key, CAST(ts AS DATE)) AS dn FROM eh),
     r AS (SELECT kpi, dim_key, doy, h,
             rank() OVER (PARTITION BY kpi, dim_key, doy ORDER BY value)
             + (count(*) OVER (PARTITION BY kpi, dim_key, doy, value) - 1) / 2.0 AS r,

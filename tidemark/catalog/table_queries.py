@@ -62,12 +62,12 @@ HOURS = ", ".join(
 
 @query(
     "hour_by_day_pivot",
-    f"""WITH {EH_SQL} SELECT kpi, dim_key, CAST(dayofyear(ts) AS INT) AS doy, {HOURS}
+    f"""WITH {EH_SQL} SELECT kpi, dim_key, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {HOURS}
     FROM eh GROUP BY 1, 2, 3""",
 )
 def hour_by_day_pivot(spark, d):
     days = reshape.hour_by_day_pivot(eh(spark, d))
-    return days.select("kpi", "dim_key", "doy", *[rnd(f"h{h:02d}").alias(f"h{h:02d}") for h in range(24)])
+    return days.select("kpi", "dim_key", F.col("day").cast("string").alias("day"), *[rnd(f"h{h:02d}").alias(f"h{h:02d}") for h in range(24)])
 
 
 @query("hourly_grid", f"WITH {GRID_SQL} {LONG} FROM grid")
@@ -300,7 +300,7 @@ def quantiles(spark, d):
 @query(
     "median_daily_iqr",
     f"""WITH {EH_SQL}, day AS (
-      SELECT kpi, dim_key, dayofyear(ts) AS doy,
+      SELECT kpi, dim_key, CAST(ts AS DATE) AS day,
              quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr
       FROM eh GROUP BY 1, 2, 3)
     SELECT kpi, dim_key, {rsql('quantile_cont(iqr, 0.5)')} AS iqr FROM day GROUP BY 1, 2""",
@@ -395,13 +395,13 @@ def envelope_by_time(spark, d):
 
 @query(
     "daily_std",
-    f"""WITH {EH_SQL} SELECT kpi, dim_key, CAST(dayofyear(ts) AS INT) AS doy,
+    f"""WITH {EH_SQL} SELECT kpi, dim_key, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
        {rsql('stddev_samp(value)')} AS std FROM eh GROUP BY 1, 2, 3""",
 )
 def daily_std(spark, d):
     return (
         eh(spark, d)
-        .groupBy("kpi", "dim_key", F.dayofyear("ts").alias("doy"))
+        .groupBy("kpi", "dim_key", F.to_date("ts").cast("string").alias("day"))
         .agg(rnd(F.stddev_samp("value")).alias("std"))
     )
 

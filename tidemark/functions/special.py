@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 TINY = 1e-300
-EXACT_KS_CELLS = 250_000
+EXACT_KS_ROWS = 10_000  # the published rule: exact up to this many rows on a side
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def ks_probability(d: float, n1: int, n2: int) -> float:
     """P(D >= d) of two samples: exact by lattice paths, asymptotic for large samples."""
     if not np.isfinite(d) or n1 < 1 or n2 < 1:
         return float("nan")
-    if n1 * n2 > EXACT_KS_CELLS:
+    if max(n1, n2) > EXACT_KS_ROWS:
         z = d * math.sqrt(n1 * n2 / (n1 + n2))
         k = np.arange(1, 101)
         return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k**2 * z**2)), 0, 1))

@@ -38,7 +38,7 @@ def series_quantiles(df: DataFrame, probs: dict[str, float], keys: list[str] = S
 
 def median_daily_iqr(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Difference of the daily quartiles, then the median over days."""
-    daily = df.groupBy(*keys, F.dayofyear("ts").alias("doy")).agg(
+    daily = df.groupBy(*keys, F.to_date("ts").alias("day")).agg(
         (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr")
     )
     return daily.groupBy(*keys).agg(F.percentile("iqr", F.lit(0.5)).alias("iqr"))

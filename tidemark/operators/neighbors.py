@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import even_sample, pick_edges, position
-from tidemark.session import cut, spread
+from tidemark.session import cut
 
 TILE = 128
 SAMPLES = 32
-ONE_TILE = 1024  # groups up to this many locations are not worth cutting
 
 
 def _distance(dx: Column, dy: Column, metric: str) -> Column:
@@ -59,8 +58,7 @@ def _place(df: DataFrame, edges: DataFrame, by: list[str], sort_key: Column, nam
 class TileIndex:
     """Tiles over ``points`` (keys, id, x, y, extra columns), ready for lookups of up to k.
 
-    If no key has more than ``ONE_TILE`` locations, each key is its own tile and ``split`` is
-    false: a lookup in the own tile is then already complete.
+    The same for every size: a key of few locations is one tile of one strip.
     """
 
     def __init__(self, points: DataFrame, keys: list[str], k: int, extra: list[str] = ()):
@@ -73,18 +71,13 @@ class TileIndex:
         )
         kept = cut(kept)
         locations = kept.filter("_copy = 1").select(*keys, "x", "y")
-        largest = locations.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        self.split = largest > ONE_TILE
         strip = [*keys, "strip"]
         tile = [*strip, "tile"]
         self.run_key = F.struct("y", "x")
-        if self.split:
-            n = F.col("_n")
-            self.x_edges = _edges(
-                locations, self.keys, F.col("x"), F.ceil(F.sqrt(n / F.lit(TILE)))
-            )
-            stripped = _place(locations, self.x_edges, self.keys, F.col("x"), "strip")
-            self.y_edges = _edges(stripped, strip, self.run_key, F.ceil(n / F.lit(TILE)))
+        n = F.col("_n")
+        self.x_edges = _edges(locations, self.keys, F.col("x"), F.ceil(F.sqrt(n / F.lit(TILE))))
+        stripped = _place(locations, self.x_edges, self.keys, F.col("x"), "strip")
+        self.y_edges = _edges(stripped, strip, self.run_key, F.ceil(n / F.lit(TILE)))
         tiles = (
             self.locate(kept)
             .groupBy(*tile)
@@ -94,7 +87,7 @@ class TileIndex:
                 F.min("y").alias("y0"), F.max("y").alias("y1"),
             )
         )
-        self.tiles = cut(tiles) if self.split else tiles
+        self.tiles = cut(tiles)
         boxes = self.tiles.drop("_pts")
         self.strip_boxes = boxes.groupBy(*strip).agg(
             F.collect_list(F.struct("tile", "x0", "x1", "y0", "y1")).alias("_boxes"),
@@ -106,8 +99,6 @@ class TileIndex:
 
     def locate(self, df: DataFrame) -> DataFrame:
         """Attach the strip and tile that hold each (x, y)."""
-        if not self.split:
-            return df.withColumns({"strip": F.lit(0), "tile": F.lit(0)})
         placed = _place(df, self.x_edges, self.keys, F.col("x"), "strip")
         return _place(placed, self.y_edges, [*self.keys, "strip"], self.run_key, "tile")
 
@@ -130,10 +121,6 @@ def nearest_arrays(
         *q_cols, (F.lit(float("inf")) if max_radius is None else max_radius).alias("_limit")
     )
 
-    if not index.split:
-        # the search is the work here: spread the queries over all cores, not over the keys
-        asked = spread(asked, [*keys, "id"])
-
     def nearest(pts: Column) -> Column:
         ranked = F.transform(
             pts,
@@ -154,8 +141,6 @@ def nearest_arrays(
         .drop("_pts")
     )
 
-    if not index.split:
-        return own.select(*q_cols, F.col("_best").alias("best"))
     reach = F.when(
         F.size("_best") >= k, F.least(F.col("_limit"), F.element_at("_best", -1)["distance"])
     ).otherwise(F.col("_limit"))

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
+SLICE_ROWS = 250_000  # shapes the work only: values ranked in one task
 SAMPLES_PER_SLICE = 16
 
 
@@ -53,31 +52,17 @@ def cumulative(
     Adds ``<w>_below`` (total over smaller values) and ``<w>_total`` for each weight, and
     ``distinct_below``. ``df`` must hold one row per (keys, value).
 
-    The input is written once, since several branches read it. If its largest group fits one
-    slice, plain windows do; only otherwise are the groups cut into slices.
+    The input is written once, since several branches read it. Every group is cut into
+    slices of about ``slice_rows`` values; a small group is one slice.
     """
     keys = list(keys)
     df = cut(df if keys else df.withColumn("_all", F.lit(1)))
     by = keys or ["_all"]
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= slice_rows:
-        whole = Window.partitionBy(*by)
-        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        out = df.select(
-            "*",
-            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
-            F.count(F.lit(1)).over(before).alias("distinct_below"),
-            *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_below") for w in weights],
-        )
-        return out if keys else out.drop("_all")
-
     sizes = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(w).alias(f"{w}_total") for w in weights],
     )
-    slices = F.least(
-        F.lit(MAX_SLICES), F.floor(F.col("_n") / F.lit(slice_rows)) + 1
-    )
+    slices = F.floor(F.col("_n") / F.lit(slice_rows)) + 1
     sizes = sizes.withColumn("_slices", slices)
     edges = (
         df.join(sizes.filter("_slices > 1").select(*by, "_n", "_slices"), by)

@@ -25,15 +25,15 @@ def long_to_time_matrix(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 
 
 def hour_by_day_pivot(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Day x 24-hour matrix per series; the column set is fixed, so no pre-scan is needed."""
+    """Calendar day x 24-hour matrix per series; the column set is fixed, so no pre-scan is needed."""
     hours = list(range(24))
     days = (
         df.withColumn("_hour", F.hour("ts"))
-        .groupBy(*keys, F.dayofyear("ts").alias("doy"))
+        .groupBy(*keys, F.to_date("ts").alias("day"))
         .pivot("_hour", hours)
         .agg(F.first("value"))
     )
-    return days.select(*keys, "doy", *[F.col(f"`{h}`").alias(f"h{h:02d}") for h in hours])
+    return days.select(*keys, "day", *[F.col(f"`{h}`").alias(f"h{h:02d}") for h in hours])
 
 
 def hourly_grid(

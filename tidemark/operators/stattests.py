@@ -63,9 +63,9 @@ def welch_seasonality(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 
 def friedman_statistic(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Friedman statistic: hours are treatments, complete days are blocks, ties corrected."""
-    day = [*keys, "doy"]
+    day = [*keys, "day"]
     rows = df.filter(F.col("value").isNotNull()).select(
-        *keys, F.dayofyear("ts").alias("doy"), F.hour("ts").alias("hour"), "value"
+        *keys, F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value"
     )
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*day)))
     complete = rows.filter(F.col("_n") == HOURS)

@@ -22,13 +22,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can see: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (tests, a laptop) gets a private temporary folder.
+    Only a local session without that setting (tests, a laptop) gets a private temporary
+    folder; on a cluster executors would not see it, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if base is None:
         sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(sc, "_tidemark_dir", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="tidemark-")
