@@ -214,13 +214,6 @@ def _revealing(docs: DataFrame) -> DataFrame:
     return worst.groupBy("_id", "_key").agg(F.collect_list(F.struct("term", "level")).alias("_terms"))
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
-    told = cut(_revealing(docs.select("doc_id", "text")))
-    return docs.join(
-        told, docs["doc_id"].eqNullSafe(told["_id"]) & (F.xxhash64(docs["text"]) == told["_key"]), "left"
-    )
-
-
 def all_spans(text: str, raw: bytes, terms: list | None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, level): base spans by kind and start, then the revealing terms."""
     base = base_spans(text)
@@ -260,9 +253,14 @@ def _joined(spans) -> str:
 
 def _apply(docs: DataFrame, keep: list[str], fields: list, make_row) -> DataFrame:
     """``make_row(text, spans)`` for every row, with its revealing terms at hand."""
-    joined = _with_terms(docs)
+    told = cut(_revealing(docs.select("doc_id", "text")))
+    joined = docs.join(
+        told, docs["doc_id"].eqNullSafe(told["_id"]) & (F.xxhash64(docs["text"]) == told["_key"]), "left"
+    )
     names = [f"_k{i}" for i in range(len(keep))]
-    source = joined.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs["text"].alias("_text"), "_terms")
+    source = joined.select(
+        *[docs[c].alias(n) for c, n in zip(keep, names)], docs["text"].alias("_text"), told["_terms"].alias("_terms")
+    )
     inner = pa.schema(fields)
     kept = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
 
