@@ -229,6 +229,13 @@ def _in_blocks(members: DataFrame, blocks) -> DataFrame:
     return dealt.withColumn("group", F.xxhash64(*pair)).drop("_n")
 
 
+def _joined_once(members: DataFrame, other: DataFrame) -> DataFrame:
+    """(key, set_id, root) with the columns of ``other``, looked up once per class and not per
+    bucket; a class is in at most one bucket of a band, so its list of keys is short."""
+    mine = members.groupBy("set_id").agg(F.first("root").alias("root"), F.collect_list("key").alias("_keys"))
+    return mine.join(other, "set_id").withColumn("key", F.explode("_keys")).drop("_keys")
+
+
 def live_members(members: DataFrame) -> DataFrame:
     """(key, set_id, root) of the members that may be linked to another component of their
     bucket, by their sketches. A pair counts in the first band it shares only."""
@@ -309,10 +316,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = buckets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = members.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
     members = members.join(mixed.filter("_lo < _hi").select("key"), "key", "left_semi")
-    members = members.join(classes.select("set_id", "n_shingles", "registers"), "set_id")
-    live = cut(live_members(members))
+    live = cut(live_members(_joined_once(members, classes.select("set_id", "n_shingles", "registers"))))
     sets = shingle_sets(live.select("set_id").distinct(), docs, classes)
-    more = cut(joining_links(live.join(sets, "set_id")))
+    more = cut(joining_links(_joined_once(live, sets)))
     return roots if more.isEmpty() else _components(links.unionByName(more))
 
 
