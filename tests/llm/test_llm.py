@@ -425,6 +425,18 @@ def test_detected_spans_match_the_patterns(spark, docs, texts):
     assert pii_sanitise.detect(odd(spark)).count() == len(ODD) and pii_sanitise.detect(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("tally", [3, 1 << 20])
+def test_term_counts_take_copies_once(spark, monkeypatch, tally):
+    monkeypatch.setattr(pii_sanitise, "TALLY", tally)
+    texts = ["a b b c", "a b b c", "a d.", "c A", None, "", None, "e", "a d."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    ids = {w: int(pii_sanitise._places(w, w.encode())[0][0]) for w in "abcdx"}
+    terms = spark.createDataFrame([(i,) for i in ids.values()], "term bigint")
+    distinct = df.selectExpr("xxhash64(text) AS key").groupBy("key").agg({"*": "count"}).toDF("key", "n")
+    got = {r.term: r.n_term for r in pii_sanitise.term_counts(df, terms, distinct).collect()}
+    assert got == {ids["a"]: 3, ids["b"]: 1, ids["c"]: 2, ids["d"]: 1}
+
+
 def test_revealing_terms_are_replaced_and_rare_words_are_not(spark):
     rng = random.Random(7)
     word = lambda: f"word{rng.randrange(60)}"

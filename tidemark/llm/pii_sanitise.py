@@ -32,6 +32,7 @@ from tidemark.session import cut
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8  # words on both sides of an entity
 SUPPORT = 3
+TALLY = 1 << 20  # terms a task gathers before it counts them
 GENERALISE_FROM, REMOVE_FROM = 0.6, 0.9
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -140,25 +141,55 @@ def contexts(docs: DataFrame) -> DataFrame:
     return hinted.mapInArrow(run, "entity bigint, term bigint, context bigint").distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many distinct texts of the corpus each of the terms occurs."""
-    bloom = Bloom.of(terms, "term")
-    shared = docs.sparkSession.sparkContext.broadcast((int(bloom.mask) + 1, bloom.words))
+def _tally(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per term of the gathered terms, with how often it is among them and no key."""
+    ids, n = np.unique(np.concatenate(parts), return_counts=True)
+    none = pa.nulls(ids.size, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), none, pa.array(n, pa.int64())], ["term", "key", "n"])
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, n_term): in how many distinct texts of the corpus each of the terms occurs.
+
+    ``texts`` holds (key, n), the distinct texts. A text that cannot have a copy is counted inside
+    its task; only terms of texts that may have one (Bloom filter of their keys, of bounded size)
+    leave the task with their key, so that copies count once."""
+    bloom, copied = Bloom.of(terms, "term"), Bloom.of(texts.filter("n > 1"), "key")
+    held = [(int(x.mask) + 1, x.words) for x in (bloom, copied)]
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Bloom(*shared.value)
+        wanted, copies = (Bloom(*x) for x in shared.value)
+        single, size = [], 0
         for batch in batches:
-            for lo, _, texts in slices(batch.column(0)):
+            keys = batch.column(1).to_numpy()
+            for lo, hi, texts in slices(batch.column(0)):
                 hasher, words = plain_words(texts)
                 ids = hasher.of(words.start, words.end)
-                hit = held.may_hold(ids)
+                hit = wanted.may_hold(ids)
                 ids, doc = ids[hit], words.doc[hit]
                 _, once = np.unique(ids ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)
-                key = batch.column(1).take(pa.array(doc[once] + lo))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[once].view(np.int64)), key], ["term", "key"])
-
-    found = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "term bigint, key bigint")
-    return found.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+                ids, doc = ids[once], doc[once]
+                own = keys[lo:hi]
+                may = np.zeros(hi - lo, bool)
+                may[copies.may_hold(own.view(np.uint64))] = True
+                many = may[doc]
+                single.append(ids[~many])
+                size += single[-1].size
+                count = pa.array(np.ones(int(many.sum()), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[many].view(np.int64)), pa.array(own[doc[many]]), count], ["term", "key", "n"]
+                )
+                if size > TALLY:
+                    yield _tally(single)
+                    single, size = [], 0
+        if size:
+            yield _tally(single)
+
+    found = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "term bigint, key bigint, n bigint")
+    per_key = found.join(terms, "term", "left_semi").groupBy("term", "key").agg(F.sum("n").alias("n"))
+    n = F.when(F.col("key").isNull(), F.col("n")).otherwise(1)
+    return per_key.groupBy("term").agg(F.sum(n).alias("n_term"))
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
@@ -168,8 +199,9 @@ def disclosures(docs: DataFrame) -> DataFrame:
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= SUPPORT)
     pairs = cut(pairs)
     entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    texts = docs.select(F.xxhash64("text").alias("key")).distinct().count()
-    counts = term_counts(docs, pairs.select("term").distinct())
+    distinct = cut(docs.groupBy(F.xxhash64("text").alias("key")).agg(F.count("*").alias("n")))
+    texts = distinct.count()
+    counts = term_counts(docs, pairs.select("term").distinct(), distinct)
     n_term = F.greatest("n_term", "n_pair")
     told = F.log2(F.col("n_pair") * F.lit(float(max(texts, 1))) / (F.col("n_entity") * n_term))
     held = F.log2(F.lit(float(max(texts, 1))) / F.col("n_entity"))
