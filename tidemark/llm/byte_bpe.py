@@ -27,7 +27,7 @@ from tidemark.llm.arrow import per_text
 from tidemark.llm.piece_cache import PieceCache
 from tidemark.llm.words import Hasher, Texts, Words, split
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 NEVER = 1 << 62
 # White space beyond the bytes that cut a text into segments.
 WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\p{Z}--\x20]", regex.V1)

@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tidemark.llm.words import gather
-
 MAX_ENTRIES = 1 << 20
+ENCODE_AT_ONCE = 1 << 14
 
 
 class PieceCache:
-    """Fingerprint -> token ids, kept in three flat arrays.
+    """Fingerprint -> token ids, kept in four flat arrays.
 
     ``encode`` maps a list of byte strings to a list of id sequences. When the cache passes
     ``max_entries`` it starts anew with the strings of the current slice: the bound limits
@@ -25,9 +24,20 @@ class PieceCache:
 
     def _clear(self):
         self.keys = np.empty(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
+        self.start = np.empty(0, np.int64)  # where the ids of a key lie in ``flat``, and how many
+        self.size = np.empty(0, np.int64)
         self.flat = np.empty(0, self.dtype)
 
+    def _encoded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per string) of byte ranges, few of them as Python objects at a time."""
+        flat, sizes = [], []
+        for lo in range(0, start.size, ENCODE_AT_ONCE):
+            part = slice(lo, lo + ENCODE_AT_ONCE)
+            got = self.encode([data[a:b].tobytes() for a, b in zip(start[part].tolist(), end[part].tolist())])
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter((i for ids in got for i in ids), self.dtype, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def _known(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
         at[at == self.keys.size] = 0
@@ -41,15 +51,15 @@ class PieceCache:
         fresh = np.flatnonzero(~self._known(unique))
         if fresh.size:
             at = example[fresh]
-            raw = data.tobytes()
-            got = self.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), self.dtype, int(sizes.sum()))
-            old = self.keys.size
+            flat, sizes = self._encoded(data, start[at], end[at])
+            behind = self.flat.size + np.cumsum(sizes) - sizes
             keys_all = np.concatenate((self.keys, unique[fresh]))
             order = np.argsort(keys_all, kind="stable")
-            first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-            assert first.size == old + fresh.size + 1
-            self.flat, self.first = gather(np.concatenate((self.flat, flat)), first, order)
             self.keys = keys_all[order]
-        return gather(self.flat, self.first, np.searchsorted(self.keys, unique)[inverse])
+            self.start = np.concatenate((self.start, behind))[order]
+            self.size = np.concatenate((self.size, sizes))[order]
+            self.flat = np.concatenate((self.flat, flat))
+        pick = np.searchsorted(self.keys, unique)[inverse]
+        bounds = np.concatenate(([0], np.cumsum(self.size[pick])))
+        at = np.arange(bounds[-1]) + np.repeat(self.start[pick] - bounds[:-1], self.size[pick])
+        return self.flat[at], bounds
