@@ -474,3 +474,24 @@ def test_pipeline_stages(spark, sf, docs, tmp_path):
 
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_piece_cache_in_parts(monkeypatch):
+    """Strings encoded in several parts, a cache that starts anew, repeats and an empty slice."""
+    import numpy as np
+
+    from tidemark.llm import piece_cache
+
+    monkeypatch.setattr(piece_cache, "ENCODE_AT_ONCE", 3)
+    cache = piece_cache.PieceCache(lambda parts: [list(p) * (len(p) % 3) for p in parts], np.uint16, max_entries=12)
+    rng = np.random.default_rng(5)
+    none = np.empty(0, np.int64)
+    assert cache.ids(none.astype(np.uint64), np.empty(0, np.uint8), none, none)[0].size == 0
+    for _ in range(6):
+        words = [bytes(rng.integers(97, 100, rng.integers(1, 4)).tolist()) for _ in range(20)]
+        end = np.cumsum([len(w) for w in words])
+        start = np.concatenate(([0], end[:-1]))
+        keys = np.array([int.from_bytes(w, "little") for w in words], np.uint64)
+        flat, bounds = cache.ids(keys, np.frombuffer(b"".join(words), np.uint8), start, end)
+        got = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [list(w) * (len(w) % 3) for w in words]
