@@ -453,6 +453,33 @@ def test_revealing_terms_are_replaced_and_rare_words_are_not(spark):
     assert "hapax [EMAIL]" in clean[12].text and clean[200].text == "Zorbleax alone" and clean[201].text is None
 
 
+def test_rare_entities_alike_surroundings_and_far_words_are_judged(spark):
+    """A name far from an address in two texts, and a signature that is alike in many texts."""
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"word{rng.randrange(60)}" for _ in range(n))
+    sign = " ".join(f"word{i}" for i in range(8))
+    rows = [(i, f"Quillemot {filler(40)} rare@mail.example {filler(5)}") for i in range(2)]
+    rows += [(i, f"{filler(30)} {sign} Vantorre {sign} sales@mail.example {sign}") for i in range(10, 40)]
+    rows += [(i, filler(30)) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    clean = {r.doc_id: r.text for r in pii_sanitise.sanitise(df).collect()}
+    assert not any("Quillemot" in clean[i] for i in range(2)) and not any("Vantorre" in clean[i] for i in range(10, 40))
+    assert all(clean[i].count("word") == 45 for i in range(2)) and clean[150] == dict(rows)[150]
+
+
+@pytest.mark.parametrize("tally", [3, 1 << 20])
+def test_pair_counts_take_copies_once(spark, monkeypatch, tally):
+    monkeypatch.setattr(pii_sanitise, "TALLY", tally)
+    texts = ["a b x@m.org", "a b x@m.org", "a, a x@m.org y@m.org", "b c y@m.org", "a b", None, "a X@m.org far " + "z " * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    ids = {int(pii_sanitise._places(w, w.encode())[0][0]): w for w in ("a", "b", "c", "far", "z")}
+    names = {pii_sanitise._entity("email", f"{w}@m.org"): w for w in "xy"}
+    distinct = df.selectExpr("xxhash64(text) AS key").groupBy("key").agg({"*": "count"}).toDF("key", "n")
+    got = pii_sanitise.pair_counts(df, spark.createDataFrame([(e,) for e in names], "entity bigint"), distinct).collect()
+    want = {"xa": 3, "xb": 1, "xfar": 1, "xz": 1, "ya": 1, "yb": 1, "yc": 1}
+    assert {names[r.entity] + ids[r.term]: r.n_pair for r in got} == want
+
+
 # all
 
 

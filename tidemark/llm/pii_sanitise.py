@@ -1,11 +1,13 @@
 """Operator 10: personal data by patterns, and terms that reveal it by their information.
 
 Patterns find e-mail addresses, ip addresses, card and phone numbers: the protected entities.
-Over the whole corpus, the words around an entity are counted in distinct contexts. A word t
-tells ``PMI(e, t) = log2(n(e,t) N / (n(e) n(t)))`` bits about an entity e that holds
-``log2(N / n(e))`` bits. In texts with e, a word that tells ``GENERALISE_FROM`` of them becomes its
-kind, one that tells ``REMOVE_FROM`` is removed. Copies of a text give one context, and a
-word needs ``SUPPORT`` contexts with the entity, so that a rare word is not taken for evidence.
+Over the whole corpus, entities, words and their pairs are counted in distinct texts; a word pairs
+with every entity of its text, wherever it stands. An entity e holds ``log2(N / n(e))`` bits. What a
+word t tells about it is estimated from the other texts, so that a text is no evidence for itself:
+``log2(P(t|e) / P(t))`` with ``P(t|e) = (n(e,t) - 1 + PRIOR P(t)) / (n(e) - 1 + PRIOR)`` and
+``P(t) = (n(t) - 1) / (N - 1)``. In texts with e, a word that tells ``GENERALISE_FROM`` of the bits
+becomes its kind, one that tells ``REMOVE_FROM`` is removed. Copies of a text count once; a word
+that only one text has with the entity tells nothing, as no other text confirms it.
 
 Edge cases: null and empty texts have no spans; offsets are code points of the whole text; terms
 inside a base span are left to it; repeated rows get equal results; an empty table gives an
@@ -30,9 +32,8 @@ from tidemark.llm.words import Texts, mix, slices
 from tidemark.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 8  # words on both sides of an entity
-SUPPORT = 3
-TALLY = 1 << 20  # terms a task gathers before it counts them
+PRIOR = 1.0  # texts that the base rate of a word weighs
+TALLY = 1 << 20  # terms, or pairs, a task gathers before it counts them
 GENERALISE_FROM, REMOVE_FROM = 0.6, 0.9
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -105,40 +106,103 @@ def _bytes_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
     return [(len(text[:a].encode()), len(text[:b].encode())) for _, a, b in spans]
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, term, context): the words near every entity; ``context`` names their sequence."""
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    return np.array(sorted({_entity(k, text[a:b]) for k, a, b in spans}), np.int64)
+
+
+def _free_words(text: str, raw: bytes, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Distinct words of the whole text that are in no base span."""
+    ids, start, end = _places(text, raw)
+    free = np.ones(ids.size, bool)
+    for a, b in _bytes_of(text, spans):
+        free[np.searchsorted(end, a, side="right") : np.searchsorted(start, b)] = False
+    return np.unique(ids[free])
+
+
+def _hinted(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.xxhash64("text").alias("key")).filter(F.col("text").rlike(ENTITY_HINT))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(entity, key): the distinct texts of every entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [])
-            for _, _, texts in slices(batch.column(0)):
+            entity, row = [], []
+            for lo, _, texts in slices(batch.column(0)):
                 for i in range(len(texts.bounds) - 1):
+                    text = texts.text(i).decode("utf-8", "replace")
+                    ids = _entities(text, base_spans(text))
+                    entity += ids.tolist()
+                    row += [lo + i] * ids.size
+            keys = batch.column(1).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), keys], ["entity", "key"])
+
+    return _hinted(docs).mapInArrow(run, "entity bigint, key bigint").distinct()
+
+
+def _tally_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per gathered pair, with how often it is among them and no key."""
+    entity, term = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((term, entity))
+    entity, term = entity[order], term[order]
+    first = np.flatnonzero(np.append(True, (np.diff(entity) != 0) | (np.diff(term) != 0)))
+    n = np.diff(np.append(first, entity.size))
+    none = pa.nulls(first.size, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(entity[first]), pa.array(term[first]), none, pa.array(n, pa.int64())], ["entity", "term", "key", "n"]
+    )
+
+
+def pair_counts(docs: DataFrame, entities: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, n_pair): in how many distinct texts each of the entities and a word are both.
+
+    ``texts`` as for ``term_counts``: pairs of texts without copies are counted inside their task,
+    so that an entity in many texts leaves a task once per word; the rest leave with their key."""
+    bloom, copied = Bloom.of(entities, "entity"), Bloom.of(texts.filter("n > 1"), "key")
+    held = [(int(x.mask) + 1, x.words) for x in (bloom, copied)]
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, copies = (Bloom(*x) for x in shared.value)
+        single, size = [], 0
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for lo, _, texts in slices(batch.column(0)):
+                own = keys[lo : lo + len(texts.bounds) - 1]
+                may = np.zeros(own.size, bool)
+                may[copies.may_hold(own.view(np.uint64))] = True
+                for i in range(own.size):
                     raw = texts.text(i)
                     text = raw.decode("utf-8", "replace")
                     spans = base_spans(text)
-                    if not spans:
+                    ids = _entities(text, spans)
+                    ids = ids[wanted.may_hold(ids.view(np.uint64))]
+                    words = _free_words(text, raw, spans) if ids.size else ids
+                    if not words.size:
                         continue
-                    ids, start, end = _places(text, raw)
-                    at = _bytes_of(text, spans)
-                    free = np.ones(ids.size, bool)
-                    for a, b in at:
-                        free[np.searchsorted(end, a, side="right") : np.searchsorted(start, b)] = False
-                    for (kind, a, b), (lo, hi) in zip(spans, at):
-                        left, right = np.searchsorted(end, lo, side="right"), np.searchsorted(start, hi)
-                        near = np.arange(max(0, left - NEAR), min(ids.size, right + NEAR))
-                        near = ids[near[free[near]]]
-                        if not near.size:
+                    step = max(1, TALLY // words.size)
+                    for at in range(0, ids.size, step):
+                        part = ids[at : at + step]
+                        pair = np.repeat(part, words.size), np.tile(words, part.size)
+                        if may[i]:
+                            n = pair[0].size
+                            columns = [*pair, np.full(n, own[i]), np.ones(n, np.int64)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entity", "term", "key", "n"])
                             continue
-                        order = np.arange(1, near.size + 1, dtype=np.uint64)
-                        name = int(mix(np.add.reduce(near.view(np.uint64) * order, keepdims=True)).view(np.int64)[0])
-                        terms = np.unique(near)
-                        rows[0].extend([_entity(kind, text[a:b])] * terms.size)
-                        rows[1].extend(terms.tolist())
-                        rows[2].extend([name] * terms.size)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["entity", "term", "context"])
+                        single.append(pair)
+                        size += pair[0].size
+                        if size > TALLY:
+                            yield _tally_pairs(single)
+                            single, size = [], 0
+        if size:
+            yield _tally_pairs(single)
 
-    hinted = docs.select("text").filter(F.col("text").rlike(ENTITY_HINT))
-    return hinted.mapInArrow(run, "entity bigint, term bigint, context bigint").distinct()
+    found = _hinted(docs).mapInArrow(run, "entity bigint, term bigint, key bigint, n bigint")
+    known = found.join(entities, "entity", "left_semi")
+    per_key = known.groupBy("entity", "term", "key").agg(F.sum("n").alias("n"))
+    n = F.when(F.col("key").isNull(), F.col("n")).otherwise(1)
+    return per_key.groupBy("entity", "term").agg(F.sum(n).alias("n_pair"))
 
 
 def _tally(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -195,16 +259,16 @@ def term_counts(docs: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFram
 def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, level): terms that tell more about an entity than the thresholds; level 1
     is generalised, 2 removed."""
-    seen = cut(contexts(docs))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= SUPPORT)
-    pairs = cut(pairs)
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     distinct = cut(docs.groupBy(F.xxhash64("text").alias("key")).agg(F.count("*").alias("n")))
-    texts = distinct.count()
+    texts = float(max(distinct.count(), 1))
+    # by the estimate one text alone tells nothing, so counts of 1 need not be carried on
+    entities = entity_texts(docs).groupBy("entity").agg(F.count("*").alias("n_entity")).filter("n_entity > 1")
+    entities = cut(entities)
+    pairs = cut(pair_counts(docs, entities.select("entity"), distinct).filter("n_pair > 1"))
     counts = term_counts(docs, pairs.select("term").distinct(), distinct)
-    n_term = F.greatest("n_term", "n_pair")
-    told = F.log2(F.col("n_pair") * F.lit(float(max(texts, 1))) / (F.col("n_entity") * n_term))
-    held = F.log2(F.lit(float(max(texts, 1))) / F.col("n_entity"))
+    rate = (F.greatest("n_term", "n_pair") - 1) / F.lit(max(texts - 1, 1.0))
+    given = (F.col("n_pair") - 1 + PRIOR * rate) / (F.col("n_entity") - 1 + PRIOR)
+    told, held = F.log2(given / rate), F.log2(F.lit(texts) / F.col("n_entity"))
     share = F.when(held > 0, told / held).otherwise(0.0)
     level = F.when(share >= REMOVE_FROM, 2).when(share >= GENERALISE_FROM, 1).otherwise(0)
     return (
