@@ -480,6 +480,20 @@ def test_pair_counts_take_copies_once(spark, monkeypatch, tally):
     assert {names[r.entity] + ids[r.term]: r.n_pair for r in got} == want
 
 
+def test_a_text_gets_its_own_revealing_words_only(spark):
+    """One address in many texts, with more than one word that reveals it: no list holds foreign words."""
+    rng = random.Random(9)
+    filler = lambda: " ".join(f"word{rng.randrange(60)}" for _ in range(20))
+    rows = [(i, f"{filler()} secret{i % 4} desk@mail.example") for i in range(40)] + [(i, filler()) for i in range(100, 900)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    told = {r._id: {t.term for t in r._terms} for r in pii_sanitise._revealing(df).collect()}
+    secret = {int(pii_sanitise._places(w, w.encode())[0][0]) for w in (f"secret{i}" for i in range(4))}
+    assert sorted(told) == list(range(40))
+    for i, terms in told.items():
+        assert terms <= set(pii_sanitise._places(rows[i][1], rows[i][1].encode())[0].tolist())
+        assert len(terms & secret) <= 1
+
+
 # all
 
 

@@ -278,35 +278,40 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 
 def _revealing(docs: DataFrame) -> DataFrame:
-    """(_id, _key, _terms): the revealing terms of every text that holds their entity."""
+    """(_id, _key, _terms): the words of every text that reveal an entity of the text."""
     found = cut(disclosures(docs))
-    bloom = Bloom.of(found.select("entity").distinct(), "entity")
+    # both are evenly spread fingerprints, so their exclusive or is one of the pair
+    bloom = Bloom.of(found.select(F.col("entity").bitwiseXOR(F.col("term")).alias("pair")), "pair")
     shared = docs.sparkSession.sparkContext.broadcast((int(bloom.mask) + 1, bloom.words))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Bloom(*shared.value)
         for batch in batches:
-            entity, row = [], []
+            entity, term, row = [], [], []
             for lo, _, texts in slices(batch.column(2)):
                 for i in range(len(texts.bounds) - 1):
-                    text = texts.text(i).decode("utf-8", "replace")
-                    ids = sorted({_entity(k, text[a:b]) for k, a, b in base_spans(text)})
-                    ids = np.array(ids, np.int64)
-                    ids = ids[held.may_hold(ids.view(np.uint64))]
-                    entity += ids.tolist()
-                    row += [lo + i] * ids.size
+                    raw = texts.text(i)
+                    text = raw.decode("utf-8", "replace")
+                    spans = base_spans(text)
+                    words = _free_words(text, raw, spans) if spans else np.empty(0, np.int64)
+                    for e in _entities(text, spans).tolist():
+                        own = words[held.may_hold((words ^ np.int64(e)).view(np.uint64))]
+                        entity += [e] * own.size
+                        term += own.tolist()
+                        row += [lo + i] * own.size
             pick = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(entity, pa.int64())], ["_id", "_key", "entity"]
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(entity, pa.int64()), pa.array(term, pa.int64())],
+                ["_id", "_key", "entity", "term"],
             )
 
     hinted = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text").filter(
         F.col("text").rlike(ENTITY_HINT)
     )
-    rows = hinted.mapInArrow(run, f"_id {kind}, _key bigint, entity bigint").distinct()
-    worst = rows.join(found, "entity").groupBy("_id", "_key", "term").agg(F.max("level").alias("level"))
-    # only words of the text itself matter: at most as many as it has
+    rows = hinted.mapInArrow(run, f"_id {kind}, _key bigint, entity bigint, term bigint")
+    worst = rows.join(found, ["entity", "term"]).groupBy("_id", "_key", "term").agg(F.max("level").alias("level"))
+    # words of the text itself: at most as many as it has
     return worst.groupBy("_id", "_key").agg(F.collect_list(F.struct("term", "level")).alias("_terms"))
 
 
