@@ -331,6 +331,20 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert margin([1, 2]) - margin([1]) - margin([2]) + margin([]) > 0.5
 
 
+def test_machine_learns_a_pair_whose_members_have_no_effect_of_their_own():
+    """Label 1 for both terms or none: either term is as frequent in both labels."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for i in range(1200):
+        group, mild = i % 2, i // 2 % 2
+        rows.append(np.array([1] * group + [2] * mild + np.unique(rng.integers(10, 410, 10)).tolist(), np.int64))
+        y.append(float(group == mild))
+    model = fm_toxicity.fit_rows(rows, np.array(y))
+    place = {int(p): i for i, p in enumerate(model.places)}
+    margin = lambda terms: model.machine.margin(np.array([place[t] for t in terms], np.int64), np.zeros(len(terms), np.int64), 1)[0]
+    assert min(margin([1, 2]), margin([])) > 0 > max(margin([1]), margin([2]))
+
+
 # 8
 
 

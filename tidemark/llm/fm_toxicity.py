@@ -25,12 +25,12 @@ from tidemark.llm.words import Texts, mix
 FACTORS = 4
 BEGINNINGS = (4, 5, 6, 7)  # bytes: words that share a stem share these terms
 TERM_BITS = 40  # terms are hashed into 2^40 places
-MIN_DOCS = 5  # sampled documents a term must be in
-MIN_Z, MAX_TERMS = 4.0, 8192  # terms whose share differs between the labels, the clearest first
+MIN_DOCS = 5  # sampled documents a term must be in, whatever its labels
 PER_CLASS = 3000
-EPOCHS, BATCH = 30, 256
+EPOCHS, BATCH, STEPS = 30, 256, 360  # epochs, or as many as make so many steps
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.4, 0.01
-FACTOR_RATE, FACTOR_L2 = 0.05, 1e-3
+CLEAR_Z, DIM = 4.0, 20.0  # a term whose own share differs less between the labels has DIM times the penalty
+FACTOR_START, FACTOR_RATE, FACTOR_L1, FACTOR_L2 = 0.05, 0.05, 1.2, 1e-3
 MODULUS, HELD_OUT = 5, 0
 
 
@@ -66,65 +66,63 @@ class FactorizationMachine:
     """Logistic factorization machine on binary sparse rows.
 
     Weights follow per-coordinate proximal steps with an L1 penalty, so most terms get none;
-    factors are learned by adaptive gradient steps for the terms that have a weight."""
+    factors are learned by adaptive gradient steps for all terms from the first epoch."""
 
     def __init__(self, size: int, factors: int = FACTORS, seed: int = 5):
         self.bias = 0.0
         self.w = np.zeros(size)
-        self.v = np.random.default_rng(seed).standard_normal((size, factors)) * 0.05
-        self.on = np.zeros(size, bool)
+        self.v = np.random.default_rng(seed).standard_normal((size, factors)) * FACTOR_START
 
     def margin(self, flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Score of every row before the logistic; ``flat`` are feature numbers, ``row`` theirs."""
         score = self.bias + np.bincount(row, self.w[flat], rows)
-        live = self.on[flat]
-        flat, row = flat[live], row[live]
         for f in range(self.v.shape[1]):
             x = self.v[flat, f]
             score += 0.5 * (np.bincount(row, x, rows) ** 2 - np.bincount(row, x * x, rows))
         return score
 
-    def fit(self, flat: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> FactorizationMachine:
+    def fit(
+        self, flat: np.ndarray, first: np.ndarray, y: np.ndarray, dim: np.ndarray, epochs: int = EPOCHS
+    ) -> FactorizationMachine:
         rng = np.random.default_rng(13)
         size = self.w.size
         z, n = np.zeros(size + 1), np.zeros(size + 1)
-        seen = np.full(self.v.shape, 1e-6)
+        seen = np.full(self.v.shape, 1e-2)
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+        least = np.append(np.where(dim, DIM * L1, L1), 0.0)
         start = self.bias = float(np.log(share / (1 - share)))
+        batches = max(1, y.size // BATCH)
+        epochs = max(epochs, STEPS // batches)
         for epoch in range(epochs):
-            for pick in np.array_split(rng.permutation(y.size), max(1, y.size // BATCH)):
+            for pick in np.array_split(rng.permutation(y.size), batches):
                 sizes = first[pick + 1] - first[pick]
                 row = np.repeat(np.arange(pick.size), sizes)
                 at = np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[pick], sizes)
                 f = flat[at]
                 error = 1 / (1 + np.exp(-np.clip(self.margin(f, row, pick.size), -30, 30))) - y[pick]
                 # weights and bias: proximal steps with an L1 penalty
-                used, inverse = np.unique(f, return_inverse=True)
-                g = np.append(np.bincount(inverse, error[row], used.size), error.sum()) / BATCH * 16
+                mark = np.zeros(size, bool)
+                mark[f] = True
+                used = np.flatnonzero(mark)
+                g = np.append(np.bincount(f, error[row], size)[used], error.sum()) / BATCH * 16
                 slot = np.append(used, size)
                 old = np.append(self.w[used], self.bias - start)
                 step = (np.sqrt(n[slot] + g * g) - np.sqrt(n[slot])) / ALPHA
                 z[slot] += g - step * old
                 n[slot] += g * g
-                penalty = np.where(slot < size, L1, 0.0)
-                new = -np.sign(z[slot]) * np.maximum(np.abs(z[slot]) - penalty, 0) / ((BETA + np.sqrt(n[slot])) / ALPHA + L2)
+                new = -np.sign(z[slot]) * np.maximum(np.abs(z[slot]) - least[slot], 0) / ((BETA + np.sqrt(n[slot])) / ALPHA + L2)
                 self.w[used], self.bias = new[:-1], start + float(new[-1])
-                self.on[used] |= new[:-1] != 0
-                if epoch < 2:
-                    continue
-                # factors of weighted terms
-                live = self.on[f]
-                f, row = f[live], row[live]
-                if not f.size:
-                    continue
-                used, inverse = np.unique(f, return_inverse=True)
                 for k in range(self.v.shape[1]):
                     x = self.v[f, k]
                     total = np.bincount(row, x, pick.size)
-                    g = np.bincount(inverse, error[row] * (total[row] - x), used.size) / BATCH * 16
+                    g = np.bincount(f, error[row] * (total[row] - x), size)[used] / BATCH * 16
                     g += FACTOR_L2 * self.v[used, k]
                     seen[used, k] += g * g
                     self.v[used, k] -= FACTOR_RATE * g / np.sqrt(seen[used, k])
+                # factors that the errors do not call for shrink to nothing, more so every epoch
+                long = np.sqrt((self.v[used] ** 2).sum(1))
+                less = FACTOR_RATE * FACTOR_L1 * epoch / epochs / np.sqrt(seen[used].mean(1))
+                self.v[used] *= np.maximum(1 - less / np.maximum(long, 1e-12), 0)[:, None]
         return self
 
 
@@ -132,11 +130,10 @@ class ToxicityModel:
     """The machine with the sorted places of the terms it knows."""
 
     def __init__(self, places: np.ndarray, machine: FactorizationMachine):
-        keep = machine.on & (machine.w != 0)
+        keep = (machine.w != 0) | machine.v.any(1)
         self.places = places[keep]
         self.machine = FactorizationMachine(0)
         self.machine.bias, self.machine.w, self.machine.v = machine.bias, machine.w[keep], machine.v[keep]
-        self.machine.on = np.ones(self.places.size, bool)
 
     def score(self, texts: Texts) -> np.ndarray:
         rows = len(texts.bounds) - 1
@@ -160,13 +157,12 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> ToxicityModel | float:
     share = np.clip(count / y.size, 1e-9, 1 - 1e-9)
     spread = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (y.size - y.sum())))
     z = np.abs(positive / y.sum() - (count - positive) / (y.size - y.sum())) / spread
-    often = (count >= min(MIN_DOCS, y.size / 4)) & (z >= min(MIN_Z, np.sqrt(y.size) / 4))
-    if often.sum() > MAX_TERMS:
-        often &= z >= np.partition(z[often], -MAX_TERMS)[-MAX_TERMS]
+    often = count >= min(MIN_DOCS, y.size / 4)
+    dim = z < min(CLEAR_Z, np.sqrt(y.size) / 4)
     keep = often[number]
     kept = np.concatenate(([0], np.cumsum(keep)))[first]
     compact = np.cumsum(often) - 1
-    machine = FactorizationMachine(int(often.sum())).fit(compact[number[keep]], kept, y)
+    machine = FactorizationMachine(int(often.sum())).fit(compact[number[keep]], kept, y, dim[often])
     return ToxicityModel(places[often], machine)
 
 
