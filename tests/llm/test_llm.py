@@ -207,6 +207,15 @@ def test_trust_matches_power_iteration(spark):
     assert link_trust.filter_pages(df.limit(0), rules).count() == 0
 
 
+def test_trust_reaches_far_hosts_beside_a_hot_one(spark):
+    """Distrust goes 24 hops against the links, however much mass a host without links holds."""
+    links = [(f"h{i + 1}.net", f"h{i}.net", 1.0, 1.0) for i in range(24)]
+    edges = spark.createDataFrame(links, "src string, dst string, share double, back double")
+    seeds = spark.createDataFrame([("hot.org", 1e9, 0.0), ("h0.net", 0.0, 1.0)], "host string, allowed double, blocked double")
+    got = {r.host: r for r in link_trust.propagate(seeds, edges).collect()}
+    assert all(got[f"h{i}.net"].distrust == pytest.approx(0.15 * 0.85**i) and got[f"h{i}.net"].trust == 0 for i in range(25))
+
+
 # 5
 
 

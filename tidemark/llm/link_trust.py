@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 DAMPING = 0.85
-MAX_ROUNDS, TOLERANCE = 20, 1e-4
+TOLERANCE = 1e-4  # relative change of a host's trust or distrust in the last round
 DISTRUST_FACTOR = 1.0  # blocked if distrust > factor * trust
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
@@ -66,7 +66,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, allowed, blocked); rounds are written tables."""
+    """(host, trust, distrust) from seeds (host, allowed, blocked); rounds are written tables.
+
+    Values only grow from round to round and what is still to come shrinks by ``DAMPING``, so the
+    rounds end: when no host is newly reached and none changes by more than ``TOLERANCE`` of its
+    own value. The mass of other hosts has no part in that."""
     base = seeds.select(
         "host", ((1 - DAMPING) * F.col("allowed")).alias("trust"), ((1 - DAMPING) * F.col("blocked")).alias("distrust")
     )
@@ -74,8 +78,7 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     if edges.isEmpty():
         return state
-    total = base.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0
-    for _ in range(MAX_ROUNDS):
+    while True:
         given = state.join(edges, F.col("host") == F.col("src")).select(
             F.col("dst").alias("host"), (DAMPING * F.col("trust") * F.col("share")).alias("trust"), F.lit(0.0).alias("distrust")
         )
@@ -88,16 +91,14 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
         old = state.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
+        # a value that was 0 and is not changes by its whole
+        change = lambda new, was: F.when(F.col(new) > 0, 1 - F.coalesce(was, F.lit(0.0)) / F.col(new)).otherwise(0.0)
         gap = after.join(old, "host", "left").agg(
-            F.sum(
-                F.abs(F.col("trust") - F.coalesce("_t", F.lit(0.0)))
-                + F.abs(F.col("distrust") - F.coalesce("_d", F.lit(0.0)))
-            )
+            F.max(F.greatest(change("trust", "_t"), change("distrust", "_d")))
         ).first()[0]
         state = after
-        if not gap or gap <= TOLERANCE * total:
-            break
-    return state
+        if not gap or gap <= TOLERANCE:
+            return state
 
 
 def filter_pages(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
