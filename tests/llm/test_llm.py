@@ -141,6 +141,24 @@ def test_policies_and_ablation_read_the_ledger_only(docs):
     assert ledger.filter(rule_ledger.passes("v1")).count() >= ledger.filter(rule_ledger.passes("v2")).count()
 
 
+def test_case_and_word_length_rules_know_other_scripts(spark):
+    say = lambda words, n=25: " ".join(f"{w}{i}" for i in range(n) for w in words)
+    rows = [
+        (1, "НАТО NATO " + say(["чистый", "текст"])), (2, "NATO " + say(["καθαρό"])), (3, "NATO " + say(["نص", "نظيف"])),
+        (4, " ".join("这是一段没有问题的中文文本它只在句子的结尾处才有空格" + str(i) for i in range(25))),
+        (5, " ".join("ข้อความภาษาไทยที่สะอาดและเว้นวรรคเฉพาะท้ายประโยค" + str(i) for i in range(25))),
+        (6, say(["КРИЧАТЬ", "ГРОМКО"])), (7, say(["SHOUTING", "words"])), (8, say(["x" * 30])), (9, say(["ы" * 30])),
+    ]
+    ledger = rule_ledger.rule_ledger(spark.createDataFrame(rows, "doc_id int, text string"))
+    bits = {"upper_case": rule_ledger.mask_of(["upper_case"]), "long_words": rule_ledger.mask_of(["long_words"])}
+    got = {r.doc_id: {k for k, b in bits.items() if r.failed & b} for r in ledger.collect()}
+    want = {i: set() for i in range(1, 6)} | {6: {"upper_case"}, 7: {"upper_case"}, 8: {"long_words"}, 9: {"long_words"}}
+    assert got == want
+    for r in ledger.collect():
+        text = dict(rows)[r.doc_id]
+        assert r.n_letters == sum(map(str.isalpha, text)) and r.n_upper == sum(map(str.isupper, text))
+
+
 # 3
 
 

@@ -6,10 +6,15 @@ asking what a rule removes on its own never reads a text again.
 
 Edge cases: a null or empty text has zero measurements and fails ``few_words``; a text without
 words fails no ratio rule; repeated rows are judged alike; an empty table gives an empty ledger.
+``upper_case`` judges texts with ``CASED_LEAST`` cased letters that are half of all letters or more,
+``long_words`` those with at least half of their characters in scripts that put spaces between words.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,9 +24,10 @@ from tidemark.llm.arrow import per_text, sums
 from tidemark.llm.words import Hasher, Texts, mix, split, windows
 
 REPEAT_WINDOW = 8
+CASED_LEAST = 20
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_upper", "n_letters", "n_marks", "n_stutter",
+    "n_lines", "n_upper", "n_letters", "n_marks", "n_stutter", "n_cased", "n_unspaced",
 ]
 
 # Symbol characters counted as n_symbols.
@@ -31,6 +37,9 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
+# Scripts written without spaces between words, as the first words of character names.
+_UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "BOPOMOFO", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN", "IDEOGRAPHIC", "YI")
+_CASED, _LETTERS, _UPPERS, _NO_SPACE = 1, 2, 4, 8
 _MARK = np.zeros(256, bool)
 _MARK[[ord("!"), ord("?")]] = True
 
@@ -40,9 +49,9 @@ RULES: list[tuple[str, str]] = [
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "5 * n_symbols > n_words"),
     ("duplicate_lines", "2 * n_dup_lines > n_lines"),
-    ("upper_case", "10 * n_upper > 4 * n_letters"),
+    ("upper_case", f"10 * n_upper > 4 * n_letters AND n_cased >= {CASED_LEAST} AND 2 * n_cased >= n_letters"),
     ("exclamations", "5 * n_marks > n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
+    ("long_words", "word_chars > 20 * n_words AND 2 * n_unspaced <= word_chars"),
     ("short_words", "word_chars < 2 * n_words"),
     ("stutter", "10 * n_stutter > 3 * n_words"),
 ]
@@ -59,6 +68,38 @@ def mask_of(names) -> int:
     return sum(bit[n] for n in names)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Bits of every code point: cased, letter, upper case, of a script without spaces."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for i in range(128, kinds.size):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind in ("Cn", "Co", "Cs"):
+            continue
+        if kind[0] == "L":
+            kinds[i] = _LETTERS | _CASED * (kind in ("Lu", "Ll", "Lt")) | _UPPERS * (kind == "Lu")
+        if kind[0] in "LM" or 0x3000 <= i < 0x3040 or 0xFF00 <= i < 0xFF70:
+            kinds[i] |= _NO_SPACE * (
+                unicodedata.name(c, "").split(" ")[0] in _UNSPACED or 0x3000 < i < 0x3040 or 0xFF00 <= i < 0xFF21
+            )
+    return kinds
+
+
+def _wide_kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, bits of ``_kinds``) of every character beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC2)
+    if not at.size:
+        return at, np.empty(0, np.uint8)
+    lead = data[at].astype(np.int64)
+    more = lambda j: np.where(at + j < data.size, data[np.minimum(at + j, data.size - 1)], 0).astype(np.int64) & 63
+    two = (lead & 31) << 6 | more(1)
+    three = (lead & 15) << 12 | more(1) << 6 | more(2)
+    four = (lead & 7) << 18 | more(1) << 12 | more(2) << 6 | more(3)
+    code = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+    return at, _kinds()[np.minimum(code, 0x10FFFF)]
+
+
 def measure(texts: Texts) -> dict[str, np.ndarray]:
     """The measurements of every text of a slice."""
     data, bounds = texts
@@ -102,6 +143,11 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     # words equal to the word before
     same = np.append(False, (word_hash[1:] == word_hash[:-1]) & (words.doc[1:] == words.doc[:-1]))
 
+    at, kind = _wide_kinds(data)
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    wide = lambda bit: np.bincount(doc[kind & bit > 0], minlength=n)
+    ascii_letters = sums(_LETTER[data], bounds)
+
     return {
         "n_words": np.diff(words.first),
         "word_chars": sums(starts_char & in_word, bounds),
@@ -109,10 +155,12 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
         "n_dup_lines": n_dup,
         "n_repeat_words": sums(repeated, words.first),
         "n_lines": n_lines,
-        "n_upper": sums(_UPPER[data], bounds),
-        "n_letters": sums(_LETTER[data], bounds),
+        "n_upper": sums(_UPPER[data], bounds) + wide(_UPPERS),
+        "n_letters": ascii_letters + wide(_LETTERS),
         "n_marks": sums(_MARK[data], bounds),
         "n_stutter": sums(same[: word_hash.size], words.first),
+        "n_cased": ascii_letters + wide(_CASED),
+        "n_unspaced": wide(_NO_SPACE),
     }
 
 
