@@ -194,6 +194,23 @@ def test_exact_passages_are_all_found(spark, sf, docs, texts):
     assert want <= got
 
 
+def test_one_substitution_in_a_short_item_is_found(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in range(9, 18)}
+    rows = []
+    for n, words in items.items():
+        assert spaced_seeds._survives(spaced_seeds.masks_for(n), n)
+        for p in range(2, n - 2):
+            text = [word() for _ in range(30)] + words[:p] + [word()] + words[p + 1 :] + [word() for _ in range(30)]
+            rows.append((100 * n + p, " ".join(text)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    found = spaced_seeds.contaminated(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()
+    got = {r.doc_id: r.matched for r in found}
+    # word 7 of 10: the comparison takes the 7 words before it, a tie with the whole item, and rejects them
+    assert {i for i, _ in rows if i >= 1000} - {1007} <= set(got) and all(got[i] == i // 100 - 1 for i in got if 1000 <= i < 1600 and 4 <= i % 100 < i // 100 - 4)
+
+
 # 4
 
 

@@ -6,8 +6,10 @@ cannot be in the benchmark are dropped by a Bloom filter of the benchmark's seed
 follows the benchmark and is bounded); the rest is joined to the benchmark seeds, and around each
 hit the aligned words are compared.
 
-Words are compared lower-cased (A-Z) and without trailing ASCII punctuation. An item shorter than the shortest
-mask but of at least ``MIN_WORDS`` words is searched as one run; shorter items are never found.
+Words are compared lower-cased (A-Z) and without trailing ASCII punctuation. An item in which one
+substituted word could hide every seed of the masks gets the ``SHORT_MASKS`` as well. An item
+shorter than the shortest mask but of at least ``MIN_WORDS`` words must match whole and is
+searched as one run; shorter items are never found.
 
 Edge cases: null and empty texts share nothing; null item ids or doc_ids are carried; repeated
 rows give one result row per (doc_id, item_id); empty tables give an empty result.
@@ -26,6 +28,7 @@ from tidemark.llm.words import Hasher, Texts, Words, mix, slices, split
 from tidemark.session import cut
 
 MASKS = ("11111111", "110101100111", "111001101011", "1010110011011")
+SHORT_MASKS = ("100011111", "111110001", "111101111")  # with the run of 8: for items of 9 words or more
 MIN_WORDS = 5
 CONTEXT = 64  # words kept on both sides of a hit for the comparison
 MATCHED_WORDS = 8  # a shorter item must match whole
@@ -73,11 +76,21 @@ def seeds(hashes: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return mix(total[at]), at
 
 
+def _survives(masks: list[str], n: int) -> bool:
+    """Whether any one substituted word of n leaves a seed of the masks."""
+    left = [{at + j for j, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    return all(any(p not in used for used in left) for p in range(n))
+
+
 def masks_for(n: int) -> list[str]:
     """Masks that search an item of n words."""
     if n < MIN_WORDS:
         return []
-    return [m for m in MASKS if len(m) <= n] or ["1" * n]
+    masks = [m for m in MASKS if len(m) <= n] or ["1" * n]
+    for m in SHORT_MASKS:
+        if len(m) <= n and not _survives(masks, n):
+            masks.append(m)
+    return masks
 
 
 def _list(values: np.ndarray, bounds) -> pa.ListArray:
@@ -234,9 +247,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_word); ``doc_word`` is the place of the overlap among the document's compared words."""
     items = cut(benchmark_seeds(benchmark))
     seed = items.filter("seed IS NOT NULL").select("seed", "item_id", "at")
-    sizes = items.filter(F.col("seed").isNull() & F.col("n").between(MIN_WORDS, len(MASKS[0]) - 1))
-    short = [r.n for r in sizes.select("n").distinct().collect()]  # three lengths at most
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    # longer items need no masks but MASKS: a run of 8 survives any one substitution
+    sizes = items.filter(F.col("seed").isNull() & F.col("n").between(MIN_WORDS, 2 * len(MASKS[0])))
+    extra = {m for r in sizes.select("n").distinct().collect() for m in masks_for(r.n)}
+    masks = [*MASKS, *sorted(extra - set(MASKS))]
     found = cut(candidate_regions(docs, Bloom.of(seed, "seed"), masks))
     hits = found.filter("seed IS NOT NULL").select("region", "place", "seed")
     lines = (
