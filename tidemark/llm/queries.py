@@ -11,11 +11,14 @@ from tidemark.llm import (
     byte_bpe,
     byte_gru,
     fm_toxicity,
+    line_dedup,
     link_trust,
+    merkle_manifest,
     pii_sanitise,
     rule_ledger,
     setsketch,
     spaced_seeds,
+    spelling_groups,
     tree_extract,
     wavelet,
 )
@@ -116,3 +119,21 @@ def op9(spark, d):
 def op10(spark, d):
     """Personal data of all documents and the terms that reveal it."""
     return pii_sanitise.detect(table(spark, d, "documents"))
+
+
+@query("op11_spelling_groups", spelling_groups.ORACLE)
+def op11(spark, d):
+    """Spelling variants of the frequent words of all documents."""
+    return spelling_groups.spelling_groups(table(spark, d, "documents"))
+
+
+@query("op12_merkle_manifest", merkle_manifest.ORACLE)
+def op12(spark, d):
+    """Merkle leaf, proof and verification of every document."""
+    return merkle_manifest.manifest(table(spark, d, "documents"))
+
+
+@query("op13_line_dedup", line_dedup.ORACLE)
+def op13(spark, d):
+    """Lines of every document before and after those that many documents share are dropped."""
+    return line_dedup.line_report(table(spark, d, "documents"))
