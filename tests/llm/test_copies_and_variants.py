@@ -217,3 +217,45 @@ def test_queries_match_their_sql(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     assert canonical(QUERIES[name](spark, sf).toPandas()).equals(canonical(con.execute(ORACLES[name]).df()))
+
+
+# shared words
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomial_sums_stay_apart(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from tidemark.llm import byte_bpe, rule_ledger, setsketch, wavelet
+
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    shared = "one two three four"
+    df = frame(spark, [(1, a), (2, b), (3, f"{a} {shared}"), (4, f"{b} {shared}"), (5, f"{a}\n{b}\n{a}")], extra=False)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in wavelet.wavelet_tokens(df, public_tokenizers.path("word_bpe_49k.json")).collect():
+        ids = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    pieces = byte_bpe.encode_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in pieces.collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert all(r.component_id == r.doc_id for r in setsketch.near_duplicates(df).collect())
+    assert {r.doc_id: r.n_dup_lines for r in rule_ledger.judge(df).collect()}[5] == 1
+
+
+def test_fingerprints_tell_ranges_apart():
+    from tidemark.llm.words import Hasher
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 20_000).astype(np.uint8)
+    start = rng.integers(0, 19_000, 30_000)
+    end = start + rng.integers(0, 60, start.size)
+    got, seen = Hasher(data, False).of(start, end), {}
+    for s, e, h in zip(start.tolist(), end.tolist(), got.tolist()):
+        assert seen.setdefault(data[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)

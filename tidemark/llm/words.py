@@ -7,6 +7,7 @@ text counts as empty. Slices hold whole texts only: a text longer than a slice i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,19 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2^64, for n positions."""
-    if _POWERS.get("up", np.empty(0)).size < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+SHORT = 32
+_SIZE = np.uint64(0xD1342543DE82EF95)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Texts(NamedTuple):
@@ -106,18 +96,33 @@ def split(texts: Texts) -> Words:
 
 
 class Hasher:
-    """Fingerprints of byte ranges of one slice from one running polynomial sum."""
+    """64-bit fingerprints of byte ranges of one slice.
+
+    Up to ``SHORT`` bytes, blocks of eight are mixed in one after the other, all ranges at once;
+    longer ranges are digested one by one. Ranges of one length up to eight bytes never share a
+    fingerprint, any other two by chance only (2^-64 a pair).
+    """
 
     def __init__(self, data: np.ndarray, fold_case: bool):
-        up, self.down = _powers(data.size + 1)
-        values = _BYTE[LOWER[data] if fold_case else data]
-        values *= up[: data.size]
-        self.total = np.empty(data.size + 1, np.uint64)
-        self.total[0] = 0
-        np.cumsum(values, out=self.total[1:])
+        padded = np.zeros(data.size + 8, np.uint8)
+        padded[: data.size] = LOWER[data] if fold_case else data
+        self.data = padded
+        self.blocks = np.ndarray((data.size + 1,), "<u8", padded, strides=(1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.down[start])
+        size = end - start
+        out = size.astype(np.uint64) * _SIZE
+        live, at, left = slice(None), start, size
+        for _ in range(0, SHORT, 8):
+            out[live] = mix(out[live] ^ (self.blocks[at] & _MASK[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            if not more.size:
+                return out
+            live = more if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in live.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def windows(word_hash: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
