@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EH_SQL, KPIS, eh, query, rnd, rsql
-from tidemark.operators import cluster, neighbors
+from tidemark.catalog.base import EH_SQL, eh, query, rnd, rsql
+from tidemark.operators import cluster, kernel, neighbors
 from tidemark.schema import SERIES
 from tidemark.session import cut
 
@@ -326,15 +326,17 @@ def knn_classify(spark, d):
 
 @query("rbf_svm_grid")
 def rbf_svm_grid(spark, d):
-    """Grid search per KPI; five event types, hence the lower series minimum."""
+    """Grid search of all KPIs in one job; the table has five event types, hence that minimum."""
+    out = kernel.rbf_svm_grid(merged_points(spark, d), min_series=5)
+    return out.select("kpi", "gamma", rnd("accuracy", 3).alias("accuracy"), "chosen")
+
+
+@query("rbf_svm_mesh")
+def rbf_svm_mesh(spark, d):
+    """Class over a mesh by the classifier refitted with the chosen gamma."""
     pts = cut(merged_points(spark, d))
-    parts = [
-        cluster.rbf_svm_grid(pts.filter(F.col("kpi") == kpi), min_series=5, max_iter=8).select(
-            F.lit(kpi).alias("kpi"), "gamma", rnd("accuracy", 3).alias("accuracy"), "chosen"
-        )
-        for kpi in KPIS
-    ]
-    return neighbors.stack(parts)
+    out = kernel.rbf_svm_predict(cluster.decision_grid(pts, 0.25), cut(kernel.rbf_svm_grid(pts, min_series=5)))
+    return out.select("kpi", "id", rnd("x").alias("x"), rnd("y").alias("y"), "prediction")
 
 
 MESH_SQL = """bx AS (SELECT kpi, min(x) AS x0, max(x) AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, rnd, rsql, table
 from tidemark.operators import aggregates, learning
+from tidemark.session import cut
 
-DIMS = 16
+DIMS = 64  # elements of an embedding
 
 
 def vectors(spark, d):
@@ -156,10 +157,19 @@ def association_rules(spark, d):
     )
 
 
-@query("rule_predict")
+@query(
+    "rule_predict",
+    f"""WITH {BASKET_SQL}, r AS (SELECT t.i AS a, t.j AS c FROM two t JOIN one a ON t.i = a.i, tot
+        WHERE t.c >= ceil({SUPPORT} * n) AND t.c / a.c >= {CONFIDENCE}),
+      p AS (SELECT DISTINCT b.o, r.c FROM b JOIN r ON b.i = r.a
+        WHERE NOT EXISTS (SELECT 1 FROM b h WHERE h.o = b.o AND h.i = r.c))
+    SELECT k.o AS l_orderkey, coalesce(string_agg(p.c, ',' ORDER BY p.c), '') AS prediction
+    FROM (SELECT DISTINCT o FROM b) k LEFT JOIN p ON k.o = p.o GROUP BY 1""",
+)
 def rule_predict(spark, d):
-    baskets = brand_baskets(spark, d)
-    model = learning.fp_growth(baskets, SUPPORT, CONFIDENCE)
-    return model.transform(baskets).select(
-        "l_orderkey", F.array_join(F.array_sort("prediction"), ",").alias("prediction")
+    """What the rules add to each basket, by a containment join."""
+    found = cut(brand_baskets(spark, d))
+    rules = learning.fp_growth(found, SUPPORT, CONFIDENCE).associationRules
+    return learning.rule_predict(found, rules, "l_orderkey").select(
+        "l_orderkey", F.array_join("prediction", ",").alias("prediction")
     )

@@ -86,3 +86,32 @@ def fp_growth(df: DataFrame, min_support: float = 0.5, min_confidence: float = 0
     return FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(df)
+
+
+def rule_predict(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Items that the rules add to every basket: (key, prediction), a sorted array, empty if none.
+
+    ``df``: key, items (a set); ``rules``: antecedent, consequent (arrays). A rule applies to a basket
+    that holds its whole antecedent and none of its consequent. A containment join: every rule waits
+    at the rarest item of its antecedent, baskets visit the items they hold, and what meets is
+    verified on the whole antecedent. A rule of an empty antecedent or a null basket applies nowhere.
+    """
+    held = df.select(key, "items", F.explode("items").alias("_item"))
+    used = rules.select("antecedent", "consequent").distinct()
+    counts = held.groupBy("_item").agg(F.count(F.lit(1)).alias("_c"))
+    waiting = (
+        used.select("*", F.explode("antecedent").alias("_item"))
+        .join(counts, "_item")
+        .groupBy("antecedent", "consequent")
+        .agg(F.min_by("_item", F.struct("_c", "_item")).alias("_item"))
+    )
+    met = held.join(waiting, "_item").filter(
+        (F.size(F.array_except("antecedent", "items")) == 0) & ~F.arrays_overlap("consequent", "items")
+    )
+    added = (
+        met.select(key, F.explode("consequent").alias("_new"))
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_set("_new")).alias("prediction"))
+    )
+    none = F.array().cast(df.schema["items"].dataType)
+    return df.select(key).join(added, key, "left").select(key, F.coalesce("prediction", none).alias("prediction"))

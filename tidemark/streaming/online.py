@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.anomaly import Spot, zscore_predict
 from tidemark.operators.joins import residual_join
@@ -97,7 +97,88 @@ def score_with_live_threshold(
     query.awaitTermination()
 
 
-SPOT_STATE = "ready boolean, t double, n long, z double, kept array<double>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SpotProcessor(StatefulProcessor):
+    """SPOT of one series: a value state (t, n, z) and two lists, the calibration values and the
+    peaks. A micro-batch appends the new entries of a list and reads the peaks only if one is added;
+    a series whose last row lies ``idle_hours`` behind the watermark loses its state."""
+
+    def __init__(self, keys: list[str], n_init: int, q: float, level: float, with_alarm: bool, idle_hours: float | None):
+        self.keys, self.n_init, self.q = keys, n_init, q
+        self.level, self.with_alarm, self.idle_hours = level, with_alarm, idle_hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.limits = handle.getValueState("limits", "t double, n long, z double")
+        self.peaks = handle.getListState("peaks", "peak double")
+        self.first = handle.getListState("first", "value double")
+        self.waiting = handle.getValueState("waiting", "n long")
+
+    def _spot(self) -> Spot | None:
+        if not self.limits.exists():
+            return None
+        spot = Spot.__new__(Spot)
+        spot.t, spot.n, spot.z = self.limits.get()
+        spot.q, spot.with_alarm, spot.peaks = self.q, self.with_alarm, None
+        return spot
+
+    def _calibrated(self, fresh: list[float]) -> Spot | None:
+        """The calibration of the waiting and the given values, once they are enough."""
+        held = self.waiting.get()[0] if self.waiting.exists() else 0
+        if held + len(fresh) < self.n_init:
+            if fresh:
+                self.first.appendList([(x,) for x in fresh])
+                self.waiting.update((held + len(fresh),))
+            return None
+        values = [x for (x,) in self.first.get()] if held else []
+        self.first.clear()
+        self.waiting.clear()
+        spot = Spot.calibrate(np.asarray([*values, *fresh]), self.q, self.level, self.with_alarm)
+        if spot.peaks:
+            self.peaks.appendList([(float(p),) for p in spot.peaks])
+        return spot
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("ts")
+        times, values = batch["ts"].tolist(), [float(x) for x in batch["value"]]
+        spot, at = self._spot(), 0
+        if spot is None:
+            held = self.waiting.get()[0] if self.waiting.exists() else 0
+            at = min(len(values), self.n_init - held)
+            spot = self._calibrated(values[:at])
+        done, fresh = [], []
+        for ts, x in zip(times[at:], values[at:], strict=True):
+            if spot.peaks is None and x > spot.t and not (x > spot.z and self.with_alarm):
+                spot.peaks = [p for (p,) in self.peaks.get()]
+            known = len(spot.peaks or ())
+            done.append((ts, x, *spot.step(x)))
+            fresh += (spot.peaks or ())[known:]
+        if spot is not None:
+            self.limits.update((float(spot.t), int(spot.n), float(spot.z)))
+        if fresh:
+            self.peaks.appendList([(float(p),) for p in fresh])
+        if self.idle_hours is not None:
+            ends = int(batch["ts"].max().timestamp() * 1000 + self.idle_hours * 3_600_000)
+            known = list(self.handle.listTimers())
+            for old in known:
+                if old < ends:
+                    self.handle.deleteTimer(old)
+            if ends > max(known, default=0):
+                self.handle.registerTimer(ends)
+        out = pd.DataFrame(done, columns=["ts", "value", "threshold", "alarm"])
+        for name, part in zip(reversed(self.keys), reversed(key), strict=True):
+            out.insert(0, name, part)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.limits, self.peaks, self.first, self.waiting):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_spot(
@@ -107,48 +188,26 @@ def stream_spot(
     level: float = 0.98,
     with_alarm: bool = True,
     keys: list[str] = SERIES,
+    idle_hours: float | None = None,
+    delay: str = "1 day",
 ) -> DataFrame:
-    """SPOT with keyed state: calibration values first, then (t, peaks, n, z).
+    """SPOT with keyed state: one threshold and alarm per row after the ``n_init`` calibration rows.
 
-    Rows of a series are taken in time order inside a micro-batch; batches are expected in
-    time order. The state of a series holds its peaks, which are a small tail of its rows.
+    Rows of a series are taken in time order inside a micro-batch; batches are expected in time
+    order. State grows by the peaks, a small tail of the rows, and is kept in RocksDB, which this
+    sets as the session's state store. ``idle_hours``: a series without rows for so long, as the
+    watermark (``delay`` behind the latest row) sees it, loses its state and calibrates anew when it
+    returns; rows behind the watermark are dropped. None: state is kept for good, no row is late.
     """
-
-    def update(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("ts")
-        ready, t, n, z, kept = state.get if state.exists else (False, 0.0, 0, 0.0, [])
-        kept = list(kept)
-        spot = None
-        if ready:
-            spot = Spot.__new__(Spot)
-            spot.t, spot.n, spot.z, spot.q = t, n, z, q
-            spot.with_alarm, spot.peaks = with_alarm, kept
-        done = []
-        for ts, x in zip(rows["ts"], rows["value"], strict=True):
-            if spot is None:
-                kept.append(float(x))
-                if len(kept) == n_init:
-                    spot = Spot.calibrate(np.asarray(kept), q, level, with_alarm)
-                continue
-            done.append((ts, float(x), *spot.step(float(x))))
-        if spot is None:
-            state.update((False, 0.0, 0, 0.0, kept))
-        else:
-            state.update((True, spot.t, spot.n, float(spot.z), [float(p) for p in spot.peaks]))
-        out = pd.DataFrame(done, columns=["ts", "value", "threshold", "alarm"])
-        for name, part in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, part)
-        yield out
-
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = ", ".join(
         [f"{k} string" for k in keys]
         + ["ts timestamp_ntz, value double, threshold double, alarm boolean"]
     )
-    return (
-        stream.filter(F.col("value").isNotNull())
-        .select(*keys, "ts", "value")
-        .groupBy(*keys)
-        .applyInPandasWithState(update, schema, SPOT_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.filter(F.col("value").isNotNull()).select(*keys, "ts", "value")
+    if idle_hours is not None:
+        rows = rows.withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", delay)
+    processor = SpotProcessor(list(keys), n_init, q, level, with_alarm, idle_hours)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        processor, schema, "append", "none" if idle_hours is None else "eventTime"
     )
