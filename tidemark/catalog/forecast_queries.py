@@ -371,9 +371,10 @@ def trend_violation(spark, d):
 
 @query("significant_changepoint")
 def significant_changepoint(spark, d):
+    """Of every series under every trend parameter set."""
     h = history(spark, d)
-    models = fc.fit_forecaster(h, [plans.TREND_FIT_GRID[-1]])
-    return plans.changepoint_of(models, h, SERIES)
+    models = fc.fit_forecaster(h, plans.TREND_FIT_GRID)
+    return plans.changepoint_of(models, h, SERIES, ["p_id"])
 
 
 @query(

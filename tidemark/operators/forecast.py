@@ -1,9 +1,9 @@
 """Trend-plus-seasonality forecaster: features, fit, prediction, cross-validation, repair.
 
 The model is y = trend * (1 + multiplicative terms) + additive terms with a piecewise-linear
-trend (Taylor and Letham 2018). The maximum a posteriori fit is a ridge regression: the
-Laplace prior on trend changes is replaced by a Gaussian of the same variance, so
-``changepoint_prior_scale`` acts through the ridge weight.
+trend (Taylor and Letham 2018). The fit is the maximum a posteriori: Gaussian priors on level, slope
+and seasonal terms, a Laplace prior of scale ``changepoint_prior_scale`` on the trend changes, most
+of which it sets to zero. Histories travel as (ds, y); their features are made where they are fitted.
 """
 
 from __future__ import annotations
@@ -117,73 +117,127 @@ MODEL_FIELDS = (
 )
 
 
-def _ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, prior_var: np.ndarray):
-    """Posterior mode with the noise variance re-estimated a few times."""
+def season_matrices(ds: pd.Series) -> dict[bool, np.ndarray]:
+    """The arrays of ``with_season`` as matrices: {False: all days alike, True: split by weekend}."""
+    days = ds.to_numpy("datetime64[s]").astype(np.int64) / 86_400.0
+
+    def waves(period: float, order: int) -> np.ndarray:
+        angles = np.outer(days, 2.0 * np.pi * np.arange(1, order + 1) / period)
+        return np.stack((np.sin(angles), np.cos(angles)), axis=2).reshape(len(days), -1)
+
+    date = ds.dt
+    month, day, weekday, year = (x.to_numpy() for x in (date.month, date.day, date.weekday, date.year))
+    flags = []
+    for name, m, rule in US_HOLIDAYS:
+        if isinstance(rule, int):
+            hit = (month == m) & (day == rule) & ((name != "juneteenth") | (year >= 2021))
+        else:
+            which, nth = rule
+            week = (day - 1) // 7 == nth - 1 if nth > 0 else day > date.days_in_month.to_numpy() - 7
+            hit = (month == m) & (weekday == which) & week
+        flags.append(hit.astype(float))
+    daily, rest = waves(1.0, DAILY_ORDER), np.column_stack([waves(7.0, WEEKLY_ORDER), *flags])
+    work = (weekday < 5).astype(float)[:, None]
+    return {
+        False: np.hstack([daily, np.zeros_like(daily), rest]),
+        True: np.hstack([daily * work, daily * (1.0 - work), rest]),
+    }
+
+
+def sparse_mode(a: np.ndarray, b: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """argmin of c'Ac/2 - b'c + sum(weight * |c|), exactly; zero weights are not penalised.
+
+    An active set with signs: solve for it, stop at the first change of sign that does not improve,
+    drop what became zero, and take in the zero whose gradient breaks its bound most."""
+    coef, free = start.copy(), weight == 0
+    sign = np.sign(coef) * ~free
+    cost = lambda c: c @ a @ c / 2 - b @ c + weight @ np.abs(c)
+    slack = 1e-9 * max(1.0, np.abs(b).max(initial=0.0))
+    while True:
+        while True:
+            on = np.flatnonzero(free | (sign != 0))
+            goal = np.zeros_like(coef)
+            goal[on] = np.linalg.solve(a[np.ix_(on, on)], (b - weight * sign)[on])
+            flips = np.flatnonzero(~free & (sign != 0) & (np.sign(goal) != sign))
+            if not flips.size:
+                coef = goal
+                break
+            # cost is convex along the way; look at every zero crossing and at the goal
+            way = goal - coef
+            at = np.unique(np.clip(-coef[flips] / np.where(way[flips] == 0, 1.0, way[flips]), 0.0, 1.0))
+            tries = [coef + t * way for t in (*at, 1.0)]
+            for t, c in zip(at, tries):
+                c[flips[np.abs(coef[flips] + t * way[flips]) <= 1e-12 * (1.0 + np.abs(coef[flips]))]] = 0.0
+            coef = min(tries, key=cost)
+            sign = np.sign(coef) * ~free
+        slope = a @ coef - b
+        excess = np.where(free | (coef != 0), -np.inf, np.abs(slope) - weight)
+        worst = int(np.argmax(excess)) if excess.size else 0
+        if not excess.size or excess[worst] <= slack:
+            return coef
+        sign[worst] = -np.sign(slope[worst])
+
+
+def _mode(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, var: np.ndarray, weight: np.ndarray):
+    """Posterior mode with the noise variance re-estimated a few times.
+
+    ``var``: variances of Gaussian priors (inf: none), ``weight``: inverse scales of Laplace priors."""
     noise = max(yy / n, 1e-8)
     coef = np.zeros(len(xy))
+    firm = np.diag(1e-10 * gram.diagonal().max(initial=1.0) * np.ones(len(xy)))
     for _ in range(4):
-        coef = np.linalg.solve(gram + np.diag(noise / prior_var), xy)
+        coef = sparse_mode(gram + firm + np.diag(noise / var), xy, noise * weight, coef)
         rss = yy - 2 * coef @ xy + coef @ gram @ coef
         noise = max(rss / n, 1e-8)
     return coef
 
 
-def _fit_rows(pdf: pd.DataFrame, grid: list[dict]) -> Iterator[dict]:
-    """Fit every parameter set on the rows of one history; normal matrices are shared."""
-    pdf = pdf.dropna(subset=["y"]).sort_values("ds")
-    n = len(pdf)
+def _fit_rows(days: np.ndarray, y: np.ndarray, seasons: dict[bool, np.ndarray], grid: list[dict]) -> Iterator[dict]:
+    """Fit every parameter set on one history in time order; normal matrices are shared."""
+    n = len(y)
     if n < 2:
         return
-    days = pdf["_day"].to_numpy()
-    y = pdf["y"].to_numpy(dtype=float)
     t0, span = days[0], max(days[-1] - days[0], 1e-9)
     t = (days - t0) / span
     scale = np.abs(y).max() or 1.0
     ys = y / scale
-    seasons = {False: np.stack(pdf["_plain"].to_numpy()), True: np.stack(pdf["_split"].to_numpy())}
-    n_season = seasons[False].shape[1]
-    n_holiday = len(US_HOLIDAYS)
+    n_season, n_holiday = seasons[False].shape[1], len(US_HOLIDAYS)
     cache: dict = {}
     for p in grid:
         share = p.get("changepoint_range", 0.8)
+        seasonal = p.get("seasonal", True)
         weekend = bool(p.get("weekend", False))
         mode = p.get("seasonality_mode", "additive")
         size = int(np.floor(n * share))
         count = min(N_CHANGEPOINTS, size - 1)
         at = np.round(np.linspace(0, max(size - 1, 0), count + 1)).astype(int)[1:] if count > 0 else []
         cps = t[at] if len(at) else np.zeros(0)
-        trend = np.column_stack(
-            [np.ones(n), t, *[np.maximum(0.0, t - s) for s in cps]]
-        )
-        n_trend = trend.shape[1]
-        trend_var = np.concatenate(
-            [
-                np.full(2, TREND_PRIOR_SCALE**2),
-                np.full(n_trend - 2, 2 * p["changepoint_prior_scale"] ** 2),
-            ]
-        )
+        n_trend = 2 + len(cps)
+        trend_var = np.concatenate([np.full(2, TREND_PRIOR_SCALE**2), np.full(len(cps), np.inf)])
+        weight = np.concatenate([np.zeros(2), np.full(len(cps), 1.0 / p["changepoint_prior_scale"])])
         season_var = np.concatenate(
             [
                 np.full(n_season - n_holiday, p.get("seasonality_prior_scale", 10.0) ** 2),
                 np.full(n_holiday, HOLIDAY_PRIOR_SCALE**2),
             ]
         )
-        season = seasons[weekend]
-        if p.get("seasonal", True) is False:
-            season = np.zeros((n, n_season))
-        if mode == "additive":
-            key = (share, weekend)
-            if key not in cache:
-                design = np.hstack([trend, season])
-                cache[key] = (design.T @ design, design.T @ ys)
-            gram, xy = cache[key]
-            coef = _ridge(gram, xy, ys @ ys, n, np.concatenate([trend_var, season_var]))
+        joint = seasonal and mode == "additive"
+        key = (share, weekend if joint else None)
+        if key not in cache:
+            trend = np.column_stack([np.ones(n), t, np.maximum(0.0, t[:, None] - cps)])
+            design = np.hstack([trend, seasons[weekend]]) if joint else trend
+            cache[key] = trend, design.T @ design, design.T @ ys
+        trend, gram, xy = cache[key]
+        beta = np.zeros(n_season)
+        if joint:
+            coef = _mode(gram, xy, ys @ ys, n, np.concatenate([trend_var, season_var]), np.concatenate([weight, np.zeros(n_season)]))
             head, beta = coef[:n_trend], coef[n_trend:] * scale
         else:
-            head = _ridge(trend.T @ trend, trend.T @ ys, ys @ ys, n, trend_var)
+            head = _mode(gram, xy, ys @ ys, n, trend_var, weight)
+        if seasonal and not joint:
             g = trend @ head
-            design, rest = season * g[:, None], ys - g
-            beta = _ridge(design.T @ design, design.T @ rest, rest @ rest, n, season_var)
+            design, rest = seasons[weekend] * g[:, None], ys - g
+            beta = _mode(design.T @ design, design.T @ rest, rest @ rest, n, season_var, np.zeros(n_season))
         yield {
             "p_id": p["p_id"], "mode": mode, "weekend": weekend, "t0": t0, "span": span,
             "k": head[1] * scale, "m": head[0] * scale, "cps": list(cps),
@@ -191,27 +245,49 @@ def _fit_rows(pdf: pd.DataFrame, grid: list[dict]) -> Iterator[dict]:
         }
 
 
+def _value_of(model: dict, days: np.ndarray, seasons: dict[bool, np.ndarray]) -> np.ndarray:
+    """yhat of one model, as ``predict_forecaster`` computes it."""
+    t = (days - model["t0"]) / model["span"]
+    trend = model["m"] + model["k"] * t + np.maximum(0.0, t[:, None] - np.array(model["cps"])) @ np.array(model["deltas"])
+    terms = seasons[model["weekend"]] @ model["beta"]
+    return trend + terms if model["mode"] == "additive" else trend * (1 + terms)
+
+
+def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows with a value in time order, their days and their values."""
+    pdf = pdf.dropna(subset=["y"]).sort_values("ds")
+    days = pdf["ds"].to_numpy("datetime64[s]").astype(np.int64) / 86_400.0
+    return pdf, days, pdf["y"].to_numpy(dtype=float)
+
+
 MODEL_COLUMNS = [f.strip().split(" ")[0] for f in MODEL_FIELDS.split(",")]
 
 
-def fit_forecaster(history: DataFrame, grid: list[dict], keys: list[str] = SERIES) -> DataFrame:
+def fit_forecaster(
+    history: DataFrame, grid: list[dict], keys: list[str] = SERIES, chosen: DataFrame | None = None
+) -> DataFrame:
     """One model row per (key, parameter set) from rows (keys, ds, y).
 
     A history is bounded by the calendar, so a grouped map per key is safe; the parameter grid
     is looped inside the task, which shares the normal matrices and avoids shipping each
-    history once per parameter set.
+    history once per parameter set. ``chosen`` (keys, p_id), one row per key, fits that set only.
     """
     fields = {f.name: f.dataType.simpleString() for f in history.schema if f.name in keys}
+    one_set = chosen is not None
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(_fit_rows(pdf, grid)), columns=MODEL_COLUMNS)
+        sets = [p for p in grid if p["p_id"] == pdf["p_id"].iloc[0]] if one_set else grid
+        rows, days, y = _ordered(pdf)
+        out = pd.DataFrame(list(_fit_rows(days, y, season_matrices(rows["ds"]), sets)), columns=MODEL_COLUMNS)
         for name in reversed(keys):
             out.insert(0, name, pdf[name].iloc[0])
         return out
 
     schema = ", ".join([f"{k} {fields[k]}" for k in keys] + [MODEL_FIELDS])
-    featured = with_season(history.select(*keys, "ds", "y"))
-    return spread(featured, keys).groupBy(*keys).applyInPandas(fit, schema)
+    rows = history.select(*keys, "ds", "y")
+    if one_set:
+        rows = rows.join(chosen.select(*[F.col(k).alias(k) for k in keys], "p_id"), keys)
+    return spread(rows, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def _dot(a: Column, b: Column, start: int, length: int) -> Column:
@@ -335,16 +411,35 @@ def cv_cutoffs(history: DataFrame, regimes: DataFrame, keys: list[str] = SERIES)
 def cross_validate(
     history: DataFrame, cutoffs: DataFrame, grid: list[dict], keys: list[str] = SERIES
 ) -> DataFrame:
-    """Forecast every (series, cutoff, parameter set) over its horizon -> ds, y, yhat."""
-    fold = [*keys, "cutoff"]
-    rows = history.select(*keys, "ds", "y").join(cutoffs, keys)
-    train = rows.filter(F.col("ds") <= F.col("cutoff")).select(*fold, "ds", "y")
-    ahead = F.col("cutoff") + F.make_dt_interval(hours=F.col("horizon"))
-    test = rows.filter((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= ahead)).select(
-        *fold, "ds", "y"
-    )
-    models = fit_forecaster(train, grid, fold)
-    return predict_forecaster(test, models, fold).select(*fold, "p_id", "ds", "y", "yhat")
+    """Forecast every (series, cutoff, parameter set) over its horizon -> ds, y, yhat.
+
+    A history meets its cutoffs in one task, travels once as (ds, y) and has its features made once;
+    every cutoff fits and forecasts from slices of them.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in history.schema if f.name in keys}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    schema += ", cutoff timestamp_ntz, p_id string, ds timestamp_ntz, y double, yhat double"
+    names = [*keys, "cutoff", "p_id", "ds", "y", "yhat"]
+
+    def validate(key: tuple, rows: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        rows, days, y = _ordered(rows)
+        ds, seasons, parts = rows["ds"].to_numpy(), season_matrices(rows["ds"]), []
+        for cutoff, horizon in zip(cuts["cutoff"], cuts["horizon"]):
+            a, b = (np.searchsorted(ds, np.datetime64(x), "right") for x in (cutoff, cutoff + pd.Timedelta(hours=horizon)))
+            if a == b:
+                continue
+            known, ahead = ({k: m[s] for k, m in seasons.items()} for s in (slice(a), slice(a, b)))
+            for model in _fit_rows(days[:a], y[:a], known, grid):
+                parts.append(pd.DataFrame({
+                    **dict(zip(keys, key)), "cutoff": cutoff, "p_id": model["p_id"], "ds": ds[a:b],
+                    "y": y[a:b], "yhat": _value_of(model, days[a:b], ahead),
+                }))
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+
+    rows = spread(history.select(*keys, F.col("ds").cast("timestamp_ntz").alias("ds"), F.col("y").cast("double").alias("y")), keys)
+    own = [F.col(k).alias(k) for k in keys]  # cutoffs come from the same history: other column ids
+    cuts = spread(cutoffs.select(*own, F.col("cutoff").cast("timestamp_ntz").alias("cutoff"), "horizon"), keys)
+    return rows.groupBy(*keys).cogroup(cuts.groupBy(*keys)).applyInPandas(validate, schema)
 
 
 def forecast_metrics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -473,9 +568,13 @@ def multiplicative_reject(
 # Repair and results
 
 
-def significant_changepoint(models: DataFrame, start: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+def significant_changepoint(
+    models: DataFrame, start: DataFrame, keys: list[str] = SERIES, by: list[str] = ()
+) -> DataFrame:
     """Last changepoint with abs(delta) >= 0.01 of the scaled trend, else the window start.
 
+    ``by``: further columns of ``models`` to keep, such as the parameter set.
+
     Deltas are compared on the scale of the fit (values divided by their largest magnitude).
     """
     pairs = F.filter(
@@ -486,7 +585,7 @@ def significant_changepoint(models: DataFrame, start: DataFrame, keys: list[str]
     seconds = (F.col("t0") + last * F.col("span")) * 86_400
     at = F.timestamp_seconds(F.round(seconds).cast("long")).cast("timestamp_ntz")
     return models.join(start, keys).select(
-        *keys, F.coalesce(at, F.col("start")).alias("last_changepoint")
+        *keys, *by, F.coalesce(at, F.col("start")).alias("last_changepoint")
     )
 
 

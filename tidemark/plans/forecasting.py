@@ -59,7 +59,7 @@ def best_models(
 ) -> DataFrame:
     """Models of the best parameter set per series, fitted on the whole history."""
     best = fc.select_best_params(metrics, keys).select(*keys, "p_id")
-    return fc.fit_forecaster(history, grid, keys).join(best, [*keys, "p_id"], "left_semi")
+    return fc.fit_forecaster(history, grid, keys, chosen=best)
 
 
 def with_context(forecast: DataFrame, history: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,12 +70,14 @@ def with_context(forecast: DataFrame, history: DataFrame, rules: DataFrame, keys
     )
 
 
-def changepoint_of(models: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+def changepoint_of(
+    models: DataFrame, history: DataFrame, keys: list[str], by: list[str] = ()
+) -> DataFrame:
     span = history.groupBy(*keys).agg(
         F.min("ds").alias("start"), F.max(F.abs("y")).alias("y_scale")
     )
     return fc.significant_changepoint(
-        models.join(span.select(*keys, "y_scale"), keys), span.select(*keys, "start"), keys
+        models.join(span.select(*keys, "y_scale"), keys), span.select(*keys, "start"), keys, by
     )
 
 
@@ -118,11 +120,10 @@ def forecast_seasonal(
 ) -> DataFrame:
     """Best seasonal model per series; a rejected multiplicative fit falls back to the best
     additive one; out-of-bounds additive trends are frozen; then clipped and scored."""
-    models = cut(fc.fit_forecaster(history, SEASONAL_GRID, keys))
     metrics = cut(metrics)
     best = fc.select_best_params(metrics, keys).select(*keys, "p_id")
     future = fc.make_future(history, keys=keys)
-    first = models.join(best, [*keys, "p_id"], "left_semi")
+    first = cut(fc.fit_forecaster(history, SEASONAL_GRID, keys, chosen=best))
     first_forecast = cut(
         with_context(fc.predict_forecaster(future, first, keys), history, rules, keys)
     )
@@ -138,7 +139,9 @@ def forecast_seasonal(
     chosen = cut(
         union_all(best.join(rejected.select(*keys), keys, "left_anti"), fallback)
     )
-    final_models = models.join(chosen, [*keys, "p_id"], "left_semi")
+    again = history.join(rejected.select(*keys), keys, "left_semi")
+    refitted = fc.fit_forecaster(again, SEASONAL_GRID, keys, chosen=chosen)
+    final_models = cut(union_all(first.join(rejected.select(*keys), keys, "left_anti"), refitted))
     second = fc.predict_forecaster(
         future.join(rejected.select(*keys), keys, "left_semi"), final_models, keys
     )
