@@ -87,3 +87,19 @@ def test_cross_validation_equals_fits_on_cut_histories(spark, grid):
         want = fc.predict_forecaster(ahead, models).toPandas().sort_values(["p_id", "ds"])
         have = got[got.cutoff == pd.Timestamp(cutoff)].sort_values(["p_id", "ds"])
         assert len(have) == 48 and np.allclose(have.yhat, want.yhat, atol=1e-6) and list(have.ds) == list(want.ds)
+
+
+def test_saved_pipeline_carries_its_forecaster(spark, tmp_path):
+    from tidemark.plans import pipelines
+
+    h = history(spark, [10 + math.sin(i / 4) + i / 100 for i in range(300)])
+    trained = pipelines.build_pipeline({"step": "Prophet", "params": {"changepoint_prior_scale": "0.1"}}).fit(h)
+    want = trained.transform(h).select("ds", "yhat").orderBy("ds").collect()
+    pipelines.save_pipeline(trained, f"{tmp_path}/saved")
+    source = trained.stages[0].getOrDefault("modelPath")
+    loaded = pipelines.load_pipeline(f"{tmp_path}/saved", trained=True)
+    assert loaded.stages[0].getOrDefault("modelPath") != source and loaded.stages[0].uid == trained.stages[0].uid
+    trained.stages[0]._set(modelPath=f"{tmp_path}/gone")
+    assert loaded.transform(h).select("ds", "yhat").orderBy("ds").collect() == want
+    with pytest.raises(ValueError):
+        loaded.stages[0].write().overwrite().save(loaded.stages[0].getOrDefault("modelPath").removesuffix("/coefficients"))

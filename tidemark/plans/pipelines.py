@@ -8,7 +8,16 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,11 +160,43 @@ class SeriesForecaster(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return model
 
 
-class SeriesForecasterModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """The coefficients stay a table in the shared folder; only its path is a parameter."""
+class _ForecasterWriter(MLWriter):
+    """Metadata and, beside it, a copy of the coefficient table."""
+
+    def __init__(self, model: SeriesForecasterModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        source = self.model.getOrDefault("modelPath")
+        if source.startswith(path.rstrip("/") + "/"):
+            raise ValueError(f"{path} holds this model's own coefficients; save it elsewhere")
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.sparkSession.read.parquet(source).write.parquet(f"{path}/coefficients")
+
+
+class _ForecasterReader(MLReader):
+    def load(self, path: str) -> SeriesForecasterModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = SeriesForecasterModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model._set(modelPath=f"{path}/coefficients")
+
+
+class SeriesForecasterModel(Model, MLReadable, MLWritable):
+    """The coefficients are a table: in the shared folder after a fit, inside the saved model after a
+    load, so that a saved pipeline needs nothing but its own folder."""
 
     modelPath = Param(Params._dummy(), "modelPath", "coefficient table", TypeConverters.toString)
 
+    def write(self) -> MLWriter:
+        return _ForecasterWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForecasterReader()
+
     def _transform(self, df: DataFrame) -> DataFrame:
         models = df.sparkSession.read.parquet(self.getOrDefault("modelPath"))
         return predict_forecaster(df.select(*SERIES, "ds"), models)
