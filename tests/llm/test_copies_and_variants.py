@@ -259,3 +259,20 @@ def test_fingerprints_tell_ranges_apart():
     for s, e, h in zip(start.tolist(), end.tolist(), got.tolist()):
         assert seen.setdefault(data[s:e].tobytes(), h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_gru_pools_what_its_positions_say():
+    import pyarrow as pa
+
+    from tidemark.llm import byte_gru
+    from tidemark.llm.words import slices
+
+    net = byte_gru.ByteGRU(["a", "b", "c"], hidden=5)
+    rows = ["", "x", "é" * 64, "word " * 200, "y" * 128, "z" * 129, None, "\x00\xff and more"] * 3
+    _, _, texts = next(slices(pa.array(rows)))
+    got = net.pool(texts)
+    for i, text in enumerate(rows):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        want = [net.positions(raw[at : at + 128, None], np.ones((raw[at : at + 128].size, 1), bool)) for at in range(0, raw.size, 128)]
+        want = np.concatenate(want).mean(axis=(0, 1)) if want else np.zeros(3)
+        assert np.allclose(got[i], want, atol=1e-5)

@@ -28,6 +28,7 @@ CUTS = 4  # training windows per sampled document
 STEPS, BATCH, RATE = 300, 256, 0.02
 MODULUS, HELD_OUT = 3, 1
 SLICE = 1 << 19
+ROWS = 2048  # windows scored at once
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -136,6 +137,56 @@ class ByteGRU:
                 self.w[k] -= (now * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
         return self
 
+    def _half_gates(self, direction: str) -> tuple[np.ndarray, np.ndarray]:
+        """Input table and recurrence with features as rows; gates halved, as sigmoid(x) = (tanh(x/2) + 1) / 2."""
+        k = self.w["hf"].shape[0]
+        half = np.where(np.arange(3 * k) < 2 * k, 0.5, 1.0).astype(np.float32)[:, None]
+        return tuple(np.ascontiguousarray(self.w[m + direction].T * half) for m in "xh")
+
+    def summed(self, data: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Sum of the position probabilities of every window (classes x windows).
+
+        ``data`` (steps x windows) holds windows by falling length, ``live[t]`` of which reach step t, so
+        padding is never computed. Features are rows, every operation runs in place over the windows,
+        and a position's scores are closed as soon as the backward run has passed it."""
+        steps, rows = data.shape
+        k, n = self.w["hf"].shape[0], len(self.classes)
+        x, a, new = (np.empty((m, rows), np.float32) for m in (3 * k, 3 * k, k))
+        score, out = np.empty((steps, n, rows), np.float32), np.zeros((n, rows), np.float32)
+        for i, d in enumerate("fb"):
+            (table, back), top = self._half_gates(d), np.ascontiguousarray(self.w["o"][i * k : (i + 1) * k].T)
+            h = np.zeros((k, rows), np.float32)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                m = int(live[t])
+                xt, at, nt, ht = x[:, :m], a[:, :m], new[:, :m], h[:, :m]
+                if m == rows:
+                    np.take(table, data[t], axis=1, out=x, mode="clip")
+                else:
+                    xt[:] = table[:, data[t, :m]]
+                np.matmul(back, ht, out=at)
+                gates = at[: 2 * k]
+                gates += xt[: 2 * k]
+                np.tanh(gates, out=gates)
+                gates += 1.0
+                gates *= 0.5
+                np.multiply(at[k : 2 * k], at[2 * k :], out=nt)
+                nt += xt[2 * k :]
+                np.tanh(nt, out=nt)
+                ht -= nt
+                ht *= at[:k]
+                ht += nt
+                if d == "f":
+                    np.matmul(top, ht, out=score[t, :, :m])
+                else:
+                    s = score[t, :, :m]
+                    s += top @ ht
+                    s += self.w["c"][:, None]
+                    s -= s.max(axis=0)
+                    np.exp(s, out=s)
+                    s /= s.sum(axis=0)
+                    out[:, :m] += s
+        return out
+
     def pool(self, texts: Texts) -> np.ndarray:
         """Mean position probabilities of every text (rows of zeros for empty texts)."""
         sizes = np.diff(texts.bounds)
@@ -144,15 +195,15 @@ class ByteGRU:
         nth = np.arange(doc.size) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         start = texts.bounds[:-1][doc] + nth * WINDOW
         size = np.minimum(WINDOW, texts.bounds[1:][doc] - start)
+        longest = np.argsort(-size, kind="stable")
         total = np.zeros((sizes.size, len(self.classes)))
-        for lo in range(0, doc.size, 4096):
-            at = start[lo : lo + 4096]
-            steps = np.arange(int(size[lo : lo + 4096].max()))[:, None]
-            live = steps < size[lo : lo + 4096]
-            data = texts.data[np.minimum(at + steps, texts.data.size - 1)]
-            p = self.positions(data, live)
-            p *= live[:, :, None]
-            np.add.at(total, doc[lo : lo + 4096], p.sum(axis=0))
+        for lo in range(0, doc.size, ROWS):
+            pick = longest[lo : lo + ROWS]
+            steps = np.arange(int(size[pick[0]]))[:, None]
+            data = texts.data[np.minimum(start[pick] + steps, texts.data.size - 1)]
+            p = self.summed(data, (steps < size[pick]).sum(axis=1))
+            for c, row in enumerate(p):
+                total[:, c] += np.bincount(doc[pick], weights=row, minlength=sizes.size)
         return total / np.maximum(sizes, 1)[:, None]
 
 
