@@ -32,69 +32,93 @@ KPI_RULE = T.StructType(
     ]
 )
 
-# KPI families by kind. A kind fixes bounds and bad direction of `_wmean`.
-SUCCESS_RATIOS = """
-update_pdp_success delete_pdp_success ims_dereg_succ_ratio ims_srvcc_succ_ratio
-ims_reg_succ_ratio ims_sess_change_succ_ratio ims_rereg_succ_ratio ims_sess_setup_succ_ratio
-gnb_add_overall_succ_ratio csfb_call_succ srvcc_succ_ratio attach lte_attach s1_ho
-create_session x2_ho detach
-""".split()
-LOSS_RATIOS = """
-harq_loss_dl harq_loss_ul rlc_loss_dl rlc_loss_ul pkt_loss_net_ul pkt_loss_term_dl
-pkt_loss_term_ul pkt_loss_net_dl rtp_packet_loss_dl rtp_packet_loss_ul pdcp_loss_dl
-pdcp_loss_ul abnormal_lte_conn_rel_ratio ims_abnorm_sess_rel_ratio
-""".split()
-DURATIONS = """
-enb_init_gnb_mod_dur gnb_add_overall_duration gnb_change_dur gnb_init_gnb_mod_dur
-ims_srvcc_delay ims_sess_change_delay ims_reg_delay ims_dereg_delay ims_call_setup_delay
-ims_rereg_delay rtp_delay_ul rtp_delay_dl rtt_net rtt_term delete_session_response_time
-s1_ho_exec_time x2_ho_exec_time ims_call_setup_time rtp_jitter_dl rtp_jitter_ul
-""".split()
-THROUGHPUTS = """
-pdcp_tp_dl pdcp_tp_ul tcp_tp_dl tcp_tp_ul udp_tp_class_ul udp_tp_class_dl tcp_tp_class_dl
-tcp_tp_class_ul
-""".split()
-ATTEMPTS = "x2_ho_attempts s1_ho_attempts".split()
-VOLUMES = "bytes_dl bytes_ul".split()  # no `_wmean` form
-RECEIVED_POWER = "rsrp serving_rsrp".split()
-RECEIVED_QUALITY = "rsrq serving_rsrq".split()
-OPINION_SCORES = "rtp_mos_dl rtp_mos_ul".split()
-NO_DIRECTION = "tcp_tp_class_dl".split()  # bounds only
-DIRECTION_ONLY = {"x2_ho_avg": "min"}
-
-INF = math.inf
-# Kind -> (lower, upper, bad direction) of the weighted mean.
-KINDS = [
-    (SUCCESS_RATIOS, 0.0, 1.0, "min"),
-    (LOSS_RATIOS, 0.0, 1.0, "max"),
-    (DURATIONS, 0.0, INF, "max"),
-    (THROUGHPUTS, 0.0, INF, "min"),
-    (ATTEMPTS, 1.0, INF, "max"),
-    (VOLUMES, 0.0, INF, "max"),
-    (RECEIVED_POWER, -140.0, -43.0, "min"),
-    (RECEIVED_QUALITY, -19.5, -2.5, "min"),
-    (OPINION_SCORES, 1.0, 5.0, "min"),
-]
+# Per KPI, lower and upper bound and bad direction of its `_wmean` form, bad direction
+# of its `_sum` and of its `_sample` form; `-` for none. Sums and samples are counts, bounded by [0, inf].
+KPI_RULES = """
+update_pdp_success 0 1 min min max
+delete_pdp_success 0 1 min min max
+ims_dereg_succ_ratio 0 1 min min max
+ims_srvcc_succ_ratio 0 1 min min max
+ims_reg_succ_ratio 0 1 min min max
+ims_sess_change_succ_ratio 0 1 min min max
+ims_rereg_succ_ratio 0 1 min min max
+ims_sess_setup_succ_ratio 0 1 min min max
+gnb_add_overall_succ_ratio 0 1 min min max
+csfb_call_succ 0 1 min min max
+srvcc_succ_ratio 0 1 min min max
+attach 0 1 min min max
+lte_attach 0 1 min min max
+s1_ho 0 1 min min max
+create_session 0 1 min min max
+x2_ho 0 1 min min max
+detach 0 1 min min max
+harq_loss_dl 0 1 max max max
+harq_loss_ul 0 1 max max max
+rlc_loss_dl 0 1 max max max
+rlc_loss_ul 0 1 max max max
+pkt_loss_net_ul 0 1 max max max
+pkt_loss_term_dl 0 1 max max max
+pkt_loss_term_ul 0 1 max max max
+pkt_loss_net_dl 0 1 max max max
+rtp_packet_loss_dl 0 1 max max max
+rtp_packet_loss_ul 0 1 max max max
+pdcp_loss_dl 0 1 max max max
+pdcp_loss_ul 0 1 max max max
+abnormal_lte_conn_rel_ratio 0 1 max max max
+ims_abnorm_sess_rel_ratio 0 1 max max max
+enb_init_gnb_mod_dur 0 inf max max max
+gnb_add_overall_duration 0 inf max max max
+gnb_change_dur 0 inf max max max
+gnb_init_gnb_mod_dur 0 inf max max max
+ims_srvcc_delay 0 inf max max max
+ims_sess_change_delay 0 inf max max max
+ims_reg_delay 0 inf max max max
+ims_dereg_delay 0 inf max max max
+ims_call_setup_delay 0 inf max max max
+ims_rereg_delay 0 inf max max max
+rtp_delay_ul 0 inf max max max
+rtp_delay_dl 0 inf max max max
+rtt_net 0 inf max max max
+rtt_term 0 inf max max max
+delete_session_response_time 0 inf max max max
+s1_ho_exec_time 0 inf max max max
+x2_ho_exec_time 0 inf max max max
+ims_call_setup_time 0 inf max max max
+rtp_jitter_dl 0 inf max max max
+rtp_jitter_ul 0 inf max max max
+pdcp_tp_dl 0 inf min min max
+pdcp_tp_ul 0 inf min min max
+tcp_tp_dl 0 inf min min max
+tcp_tp_ul 0 inf min min max
+udp_tp_class_ul 0 inf min min max
+udp_tp_class_dl 0 inf min min max
+tcp_tp_class_dl 0 inf - - -
+tcp_tp_class_ul 0 inf min min max
+x2_ho_attempts 1 inf max max max
+s1_ho_attempts 1 inf max max max
+bytes_dl - - - max max
+bytes_ul - - - max max
+rsrp -140 -43 min min min
+serving_rsrp -140 -43 min min min
+rsrq -19.5 -2.5 min min min
+serving_rsrq -19.5 -2.5 min min min
+rtp_mos_dl 1 5 min min max
+rtp_mos_ul 1 5 min min max
+""".split("\n")[1:-1]
+# A KPI with a bad direction and without bounds or forms.
+DIRECTION_ONLY = ("x2_ho_avg", None, None, "min")
 
 
 def kpi_rule_rows() -> list[tuple[str, float | None, float | None, str | None]]:
-    """Expand the kinds into one rule per KPI.
-
-    `_sum` and `_sample` forms are counts of something, hence [0, inf]; a sum keeps the bad
-    direction of its family, a sample count is bad when high except for signal strength.
-    """
+    """One rule per form of every KPI."""
     rows = []
-    for bases, lower, upper, bad in KINDS:
-        for base in bases:
-            directed = base not in NO_DIRECTION
-            if base not in VOLUMES:
-                rows.append((f"{base}_wmean", lower, upper, bad if directed else None))
-            rows.append((f"{base}_sum", 0.0, INF, bad if directed else None))
-            signal = base in RECEIVED_POWER + RECEIVED_QUALITY
-            count_bad = "min" if signal else "max"
-            rows.append((f"{base}_sample", 0.0, INF, count_bad if directed else None))
-    rows += [(kpi, None, None, bad) for kpi, bad in DIRECTION_ONLY.items()]
-    return rows
+    for line in KPI_RULES:
+        base, lower, upper, *bad = line.split()
+        mean, total, sample = (None if b == "-" else b for b in bad)
+        if lower != "-":
+            rows.append((f"{base}_wmean", float(lower), float(upper), mean))
+        rows += [(f"{base}_sum", 0.0, math.inf, total), (f"{base}_sample", 0.0, math.inf, sample)]
+    return [*rows, DIRECTION_ONLY]
 
 
 def kpi_rules(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
