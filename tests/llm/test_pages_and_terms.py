@@ -59,3 +59,113 @@ def test_hostile_pages_take_linear_time(page):
     started = time.process_time()
     tree_extract.main_text(page)
     assert time.process_time() - started < 12  # a quadratic reading takes hours
+
+
+# 10
+
+
+def brute_terms(texts):
+    """{text: {(word start, level)}} by the estimate as the module states it, over Python dicts."""
+    from math import log2
+
+    reach, prior = pii_sanitise.REACH, pii_sanitise.PRIOR
+    pairs, words_of = {}, {}
+    for text in set(texts):
+        spans, found, at = pii_sanitise.base_spans(text), [], 0
+        for m in re.finditer(r"[^\x20\x09-\x0d]+", text):
+            end = m.end()
+            while end > m.start() and text[end - 1].isascii() and not text[end - 1].isalnum() and text[end - 1].isprintable():
+                end -= 1
+            if end > m.start():
+                word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[m.start() : end])
+                found.append((m.start(), end, word))
+        words_of[text] = {w for _, _, w in found}
+        near = pairs[text] = set()
+        for kind, a, b in spans:
+            lo = sum(e <= a for _, e, _ in found)
+            hi = sum(s < b for s, _, _ in found)
+            for i in range(max(lo - reach, 0), min(max(lo, hi) + reach, len(found))):
+                s, e, w = found[i]
+                if "\n" in text[min(s, a) : max(e, b)] or any(s < y and x < e for _, x, y in spans):
+                    continue
+                plain = kind, pii_sanitise._plain(kind, text[a:b])
+                near.add((plain, (kind, pii_sanitise.group_of(kind, text[a:b])), w))
+    n_e, n_g, n_et, n_gt, n_t, kinds = Counter(), Counter(), Counter(), Counter(), Counter(), defaultdict(set)
+    for text in pairs:
+        spans = pii_sanitise.base_spans(text)
+        both = {((k, pii_sanitise._plain(k, text[a:b])), (k, pii_sanitise.group_of(k, text[a:b]))) for k, a, b in spans}
+        n_e.update({e for e, _ in both})
+        n_g.update({g for _, g in both})
+        for e, g in both:
+            kinds[g].add(e)
+        n_et.update({(e, w) for e, _, w in pairs[text]})
+        n_gt.update({(g, w) for _, g, w in pairs[text]})
+        n_t.update(words_of[text])
+    out = {}
+    for text, near in pairs.items():
+        levels = out[text] = {}
+        for e, g, w in near:
+            ne, et, ng, gt = n_e[e], n_et[e, w], n_g[g], n_gt[g, w]
+            rate = (n_t[w] - 1) / max(len(pairs) - 1, 1)
+            if len(kinds[g]) < 2 or gt < 2:
+                ng, gt = ne, et
+            if not rate or max(et, gt) < 2:
+                continue
+            less, out_of = (et, ne) if et > 1 else (1, 1)
+            rest = (max(gt - less, 0) + prior * rate) / (max(ng - out_of, 0) + prior)
+            given = (et - 1 + prior * rest) / (ne - 1 + prior)
+            held = log2(len(pairs) / ne)
+            share = log2(given / rate) / held if held > 0 else 0
+            level = 2 if share >= pii_sanitise.REMOVE_FROM else 1 if share >= pii_sanitise.GENERALISE_FROM else 0
+            if level:
+                levels[w] = max(level, levels.get(w, 0))
+    return out
+
+
+def group_texts():
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 400}"
+    fill = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{fill(20)}\n{fill(9)} Quarnish {fill(4)} user{i}@quarnish.example, {fill(9)}\nOther {fill(9)}" for i in range(5)]
+    texts += [f"{fill(9)} host-{i % 3} 10.77.{i}.{i % 4} {fill(5)} +1 (771) 555-0{100 + i % 5}" for i in range(14)]
+    texts += [f"{fill(30)} {fill(300)} boss@solo.example {fill(280)} Farword" for _ in range(3)]
+    texts += [fill(30) for _ in range(150)] + ["a@b.example " * 5, "", "1@x.org"] + [texts[0]] * 4
+    return texts
+
+
+@pytest.mark.parametrize("at_once", [1 << 11, 1])
+def test_estimate_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(pii_sanitise, "AT_ONCE", at_once)
+    texts = group_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    told = {r._id: {t.term: t.level for t in r._terms} for r in pii_sanitise._revealing(df).collect()}
+    want = brute_terms(texts)
+    name = lambda w: int(pii_sanitise._places(w, w.encode())[0][0])
+    for i, t in enumerate(texts):
+        assert told.get(i, {}) == {name(w): level for w, level in want[t].items()}
+    assert all(name("quarnish") in told[i] for i in range(5))  # each address stands in one text only
+    clean = {r.doc_id: r.text for r in pii_sanitise.sanitise(df).collect()}
+    assert len(clean) == len(texts) and not any("Quarnish" in clean[i] for i in range(5)) and "Farword" in clean[19]
+
+
+def test_groups_of_entities():
+    of = pii_sanitise.group_of
+    assert of("email", "A.b@Mail.Example.com") == "mail.example.com" and of("ip", "10.2.33.4") == "10.2"
+    assert of("card", "4111 1111 1111 1111") == "411111"
+    assert of("phone", "+1 (771) 555-1655") == "1771" and of("phone", "+17715551655") == "1771"
+
+
+def test_directory_of_addresses_takes_linear_time():
+    text = " ".join(f"Name{i} n{i}@dir.example" for i in range(40_000))
+    started = time.process_time()
+    spans = pii_sanitise.base_spans(text)
+    pairs = sum(e.size for e, _, _ in pii_sanitise._evidence(text, text.encode(), spans))
+    assert len(spans) == 40_000 and pairs > 40_000 * 200 and time.process_time() - started < 30
+
+
+def test_empty_documents_are_sanitised(spark):
+    df = spark.createDataFrame([], "doc_id int, text string, n_chars int, _key int, _terms int")
+    out = pii_sanitise.sanitise(df)
+    assert out.columns == df.columns and out.count() == 0
+    odd = spark.createDataFrame([(None, None, 1, 2, 3), (1, "", 0, 2, 3), (1, "x a@b.cc", 8, 2, 3)], df.schema)
+    assert sorted((r.text or "-") for r in pii_sanitise.sanitise(odd).collect()) == ["-", "-", "x [EMAIL]"]
