@@ -169,3 +169,23 @@ def test_empty_documents_are_sanitised(spark):
     assert out.columns == df.columns and out.count() == 0
     odd = spark.createDataFrame([(None, None, 1, 2, 3), (1, "", 0, 2, 3), (1, "x a@b.cc", 8, 2, 3)], df.schema)
     assert sorted((r.text or "-") for r in pii_sanitise.sanitise(odd).collect()) == ["-", "-", "x [EMAIL]"]
+
+
+# 3
+
+
+def test_any_one_substitution_leaves_the_item_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in range(9, 17)}
+    rows = []
+    for n, words in items.items():
+        for p in range(n):
+            changed = words[:p] + [word()] + words[p + 1 :]
+            rows.append((100 * n + p, " ".join([*(word() for _ in range(20)), *changed, *(word() for _ in range(20))])))
+    rows += [(i, " ".join(word() for _ in range(60))) for i in range(20)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    found = spaced_seeds.contaminated(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()
+    got = {r.doc_id: (r.item_id, r.matched, r.aligned) for r in found}
+    assert set(got) == {i for i, _ in rows if i >= 100}
+    assert all(v == (i // 100, i // 100 - 1, i // 100) for i, v in got.items())

@@ -229,16 +229,23 @@ def candidate_regions(docs: DataFrame, bloom: Bloom, masks: list[str]) -> DataFr
 
 
 def align(region: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(matched words, aligned words, first aligned word of the item) of the best stretch in
-    which ``region[i + shift]`` is compared with ``item[i]``."""
+    """(matched words, aligned words, first aligned word of the item) where ``region[i + shift]`` is
+    compared with ``item[i]``: of the whole item, if it lies there and at least two thirds of its words
+    and ``MATCHED_WORDS`` agree; else of the best stretch, of equal ones the longest."""
     lo, hi = max(0, -shift), min(item.size, region.size - shift)
     if hi <= lo:
         return 0, 0, lo
     same = region[lo + shift : hi + shift] == item[lo:hi]
+    matched = int(same.sum())
+    if same.size == item.size and matched >= MATCHED_WORDS and matched >= MISMATCH_COST * (same.size - matched):
+        return matched, same.size, lo
     run = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -MISMATCH_COST))))
     low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.argmin(run[: end + 1]))
+    fresh = np.append(True, run[1:] < low[:-1])
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(run.size), 0))
+    ends = np.flatnonzero(run - low == (run - low).max())
+    end = int(ends[np.argmax(ends - begin[ends])])
+    start = int(begin[end])
     return int(same[start:end].sum()), end - start, lo + start
 
 
