@@ -3,7 +3,10 @@
 A text is the set of its hashed terms: words and word beginnings. The machine adds a weight per term and, for every pair
 of terms, the product of their factor vectors, so a pair such as an insult and a group name can
 count for more than both alone. It is trained in numpy on a bounded sample of labelled rows
-(``PER_CLASS`` of each label); scoring reads every term of every text.
+(``PER_CLASS`` rows and ``PER_CLASS_BYTES`` of text of each label); its penalties are those of ``GRID``
+with the least loss on folds of learnable rows, fixed once or chosen again for other labels
+(``choose``). Terms are counted in Spark, so only those of ``MIN_DOCS``
+sampled documents reach the driver; scoring reads every term of every text.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias; without labels, or
 with one label value only, the score is that value's share (0 without labels); labels of a
@@ -12,6 +15,8 @@ doc_id that disagree count as toxic if any is; repeated rows get equal results.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,17 +26,33 @@ from tidemark.llm.arrow import per_text
 from tidemark.llm.labelled import hash_bucket, sample_per_class
 from tidemark.llm.spaced_seeds import plain_words
 from tidemark.llm.words import Texts, mix
+from tidemark.session import cut
 
 FACTORS = 4
 BEGINNINGS = (4, 5, 6, 7)  # bytes: words that share a stem share these terms
 TERM_BITS = 40  # terms are hashed into 2^40 places
 MIN_DOCS = 5  # sampled documents a term must be in, whatever its labels
 PER_CLASS = 3000
+PER_CLASS_BYTES = 32 << 20  # text of the sample of one label
 EPOCHS, BATCH, STEPS = 30, 256, 360  # epochs, or as many as make so many steps
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.4, 0.01
-CLEAR_Z, DIM = 4.0, 20.0  # a term whose own share differs less between the labels has DIM times the penalty
-FACTOR_START, FACTOR_RATE, FACTOR_L1, FACTOR_L2 = 0.05, 0.05, 1.2, 1e-3
+ALPHA, BETA, L2 = 0.2, 1.0, 0.01
+CLEAR_Z = 4.0  # a term whose own share differs less between the labels has ``dim`` times the penalty
+FACTOR_START, FACTOR_RATE, FACTOR_L2 = 0.05, 0.05, 1e-3
 MODULUS, HELD_OUT = 5, 0
+FOLDS = 3
+
+
+class Penalties(NamedTuple):
+    """L1 of the weights, its multiple for terms without a clear difference, L1 of the factors."""
+
+    l1: float
+    dim: float
+    factor_l1: float
+
+
+GRID = tuple(Penalties(a, d, f) for a in (0.4, 0.8, 1.6) for d in (5.0, 20.0, 80.0) for f in (0.4, 1.2, 2.4))
+# least loss of the grid on three folds of learnable rows (``fold_losses``); held-out rows had no part
+PENALTIES = Penalties(0.8, 20.0, 2.4)
 
 
 def terms(texts: Texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +103,20 @@ class FactorizationMachine:
         return score
 
     def fit(
-        self, flat: np.ndarray, first: np.ndarray, y: np.ndarray, dim: np.ndarray, epochs: int = EPOCHS
+        self,
+        flat: np.ndarray,
+        first: np.ndarray,
+        y: np.ndarray,
+        dim: np.ndarray,
+        penalties: Penalties,
+        epochs: int = EPOCHS,
     ) -> FactorizationMachine:
         rng = np.random.default_rng(13)
         size = self.w.size
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         seen = np.full(self.v.shape, 1e-2)
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-        least = np.append(np.where(dim, DIM * L1, L1), 0.0)
+        least = np.append(np.where(dim, penalties.dim * penalties.l1, penalties.l1), 0.0)
         start = self.bias = float(np.log(share / (1 - share)))
         batches = max(1, y.size // BATCH)
         epochs = max(epochs, STEPS // batches)
@@ -121,7 +148,7 @@ class FactorizationMachine:
                     self.v[used, k] -= FACTOR_RATE * g / np.sqrt(seen[used, k])
                 # factors that the errors do not call for shrink to nothing, more so every epoch
                 long = np.sqrt((self.v[used] ** 2).sum(1))
-                less = FACTOR_RATE * FACTOR_L1 * epoch / epochs / np.sqrt(seen[used].mean(1))
+                less = FACTOR_RATE * penalties.factor_l1 * epoch / epochs / np.sqrt(seen[used].mean(1))
                 self.v[used] *= np.maximum(1 - less / np.maximum(long, 1e-12), 0)[:, None]
         return self
 
@@ -136,8 +163,9 @@ class ToxicityModel:
         self.machine.bias, self.machine.w, self.machine.v = machine.bias, machine.w[keep], machine.v[keep]
 
     def score(self, texts: Texts) -> np.ndarray:
-        rows = len(texts.bounds) - 1
-        place, doc = terms(texts, self.places)
+        return self.score_terms(*terms(texts, self.places), len(texts.bounds) - 1)
+
+    def score_terms(self, place: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
         at = np.searchsorted(self.places, place)
         at[at == self.places.size] = 0
         known = self.places[at] == place if self.places.size else np.zeros(place.size, bool)
@@ -145,7 +173,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> ToxicityModel | float:
+def fit_rows(
+    rows: list[np.ndarray], y: np.ndarray, penalties: Penalties = PENALTIES
+) -> ToxicityModel | float:
     """Model of rows of term places; the constant share if there is one label value only."""
     if not y.size or y.min() == y.max():
         return float(y.mean()) if y.size else 0.0
@@ -157,23 +187,65 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> ToxicityModel | float:
     share = np.clip(count / y.size, 1e-9, 1 - 1e-9)
     spread = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (y.size - y.sum())))
     z = np.abs(positive / y.sum() - (count - positive) / (y.size - y.sum())) / spread
-    often = count >= min(MIN_DOCS, y.size / 4)
+    often = count >= least_docs(y.size)
     dim = z < min(CLEAR_Z, np.sqrt(y.size) / 4)
     keep = often[number]
     kept = np.concatenate(([0], np.cumsum(keep)))[first]
     compact = np.cumsum(often) - 1
-    machine = FactorizationMachine(int(often.sum())).fit(compact[number[keep]], kept, y, dim[often])
+    machine = FactorizationMachine(int(often.sum())).fit(compact[number[keep]], kept, y, dim[often], penalties)
     return ToxicityModel(places[often], machine)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel | float:
-    """Model of the labelled rows outside the held-out fifth; only term hashes of the bounded
-    sample reach the driver."""
+def least_docs(rows: int) -> float:
+    """Documents of a sample of so many that a term must be in."""
+    return min(MIN_DOCS, rows / 4)
+
+
+def fold_losses(rows: list[np.ndarray], y: np.ndarray, grid: tuple[Penalties, ...] = GRID) -> list[float]:
+    """Mean log loss of every member of the grid on rows left out in turn, both labels equally heavy.
+
+    Equal rows share a fold, so that copies do not judge themselves."""
+    key = np.array([int(mix(np.add.reduce(mix(r.view(np.uint64)), keepdims=True))[0] >> np.uint64(1)) for r in rows])
+    fold = key % FOLDS
+    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(y.size - y.sum(), 1))
+    losses = []
+    for penalties in grid:
+        loss = 0.0
+        for k in range(FOLDS):
+            out = np.flatnonzero(fold == k)
+            if not out.size:
+                continue
+            learn = np.flatnonzero(fold != k)
+            model = fit_rows([rows[i] for i in learn], y[learn], penalties)
+            if isinstance(model, float):
+                p = np.full(out.size, model)
+            else:
+                doc = np.repeat(np.arange(out.size), [len(rows[i]) for i in out])
+                p = model.score_terms(np.concatenate([rows[i] for i in out]), doc, out.size)
+            p = np.clip(p, 1e-6, 1 - 1e-6)
+            loss -= float((weight[out] * np.where(y[out] > 0, np.log(p), np.log(1 - p))).sum())
+        losses.append(loss)
+    return losses
+
+
+def fit_chosen(rows: list[np.ndarray], y: np.ndarray, grid: tuple[Penalties, ...] = GRID) -> ToxicityModel | float:
+    """Model of all rows with the penalties of the least loss on folds (ties: the first)."""
+    if not y.size or y.min() == y.max():
+        return fit_rows(rows, y)
+    return fit_rows(rows, y, grid[int(np.argmin(fold_losses(rows, y, grid)))])
+
+
+def labelled_terms(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of term places of the bounded sample of learnable documents, and their labels."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(
         hash_bucket("doc_id", MODULUS) != HELD_OUT
     )
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = sample_per_class(known, "toxic", per_class, 2)
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("_bytes"))
+    known = cut(known.join(sizes, "doc_id"))
+    known = sample_per_class(known, "toxic", per_class, 2, "_bytes", PER_CLASS_BYTES).select("doc_id", "toxic")
     # at most about 2 * per_class rows of two numbers, whatever the corpus
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
@@ -182,11 +254,26 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
         first = np.searchsorted(doc, np.arange(len(texts.bounds)))
         return {"terms": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(place))}
 
-    got = per_text(rows, ["doc_id", "toxic"], "text", [("terms", pa.list_(pa.int64()))], lambda: work).toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable") if got.num_rows else np.empty(0, np.int64)
-    lists = got["terms"].combine_chunks() if got.num_rows else []
-    y = got["toxic"].to_numpy()[order].astype(float) if got.num_rows else np.empty(0)
-    return fit_rows([lists[int(i)].values.to_numpy() for i in order], y)
+    found = per_text(rows, ["doc_id", "toxic"], "text", [("terms", pa.list_(pa.int64()))], lambda: work)
+    found = cut(found.withColumn("_row", F.monotonically_increasing_id()))
+    each = found.select("_row", F.explode("terms").alias("_place"))
+    often = each.groupBy("_place").count().filter(F.col("count") >= least_docs(found.count())).select("_place")
+    kept = each.join(often, "_place").groupBy("_row").agg(F.sort_array(F.collect_list("_place")).alias("_kept"))
+    got = found.select("_row", "doc_id", "toxic").join(kept, "_row", "left").toArrow()
+    order = np.lexsort((got["_row"].to_numpy(), got["doc_id"].to_numpy()))
+    lists, y = got["_kept"], got["toxic"].to_numpy().astype(float)[order]
+    none = np.empty(0, np.int64)
+    return [lists[int(i)].values.to_numpy() if lists[int(i)].is_valid else none for i in order], y
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, choose: bool = False
+) -> ToxicityModel | float:
+    """Model of the labelled rows outside the held-out fifth; only term hashes of the bounded
+    sample reach the driver. ``choose`` takes the penalties from folds of this sample, which takes
+    as many fits as ``GRID`` times ``FOLDS``."""
+    fit = fit_chosen if choose else fit_rows
+    return fit(*labelled_terms(docs, labels, per_class))
 
 
 def score(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
