@@ -1,14 +1,16 @@
-"""Whole articles in linear time, seeds of short items, terms of entity groups."""
+"""Whole articles and links in linear time, short items, entity groups, trust, penalties."""
 
 import html
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tidemark.llm import pii_sanitise, spaced_seeds, tree_extract
+from tidemark.llm import fm_toxicity, link_trust, pii_sanitise, spaced_seeds, tree_extract
 
 P = "<p>" + "some words, and more of them here " * 5 + ".</p>"
 TEXT = ("some words, and more of them here " * 5 + ".").replace("  ", " ")
@@ -189,3 +191,71 @@ def test_any_one_substitution_leaves_the_item_found(spark):
     got = {r.doc_id: (r.item_id, r.matched, r.aligned) for r in found}
     assert set(got) == {i for i, _ in rows if i >= 100}
     assert all(v == (i // 100, i // 100 - 1, i // 100) for i, v in got.items())
+
+
+# 4
+
+
+def test_links_are_read_once_and_data_attributes_are_none(spark):
+    page = (
+        "<a data-href='//no.net/'>x</a><a\nclass=b HREF = //Yes.net/p>y</a><abbr href='//no.org/'>"
+        "<a title='href' href=\"http://two.net\">z</a><a href='//cut.net'<b>"
+    )
+    hostile = ["<a " * 100_000, "<a" + " " * 100_000 + ">", "<a " + "href " * 60_000, "<a href=" + " " * 200_000 + ">", "<a href='" * 60_000]
+    pages = spark.createDataFrame([(0, "http://me.org/", page), *((i, "http://x.org/", h) for i, h in enumerate(hostile, 1))], "page_id int, url string, html string")
+    start = time.time()
+    got = {(r.src, r.dst) for r in link_trust.host_edges(pages).collect()}
+    assert got == {("me.org", "yes.net"), ("me.org", "two.net"), ("me.org", "cut.net")}
+    assert time.time() - start < 20
+
+
+def test_large_sites_weigh_no_more_than_small_ones_and_ties_are_allowed(spark):
+    pages = [(i, f"http://big.com/fr/{i}", None) for i in range(300)] + [(1000 + i, f"http://bad.com/de/{i}", "<a href='//big.com/'>") for i in range(3)]
+    # next.com links to a blocked host and is linked by an allowed one with hundreds of pages
+    pages += [(2000, "http://next.com/en", "<a href='//bad.com/'>"), (3000, "http://even.com/fr/", None), (3001, "http://even.com/de/", None), (3002, "http://even.com/en/", None)]
+    rules = [("allow", "com/fr/"), ("block", "com/de/")]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r.page_id: r for r in link_trust.filter_pages(df, rules).collect()}
+    assert got[2000].verdict == "block" and got[3002].verdict == "allow"
+    assert sum({r.host: r.trust for r in got.values()}.values()) == pytest.approx(1.5, rel=1e-3)
+
+
+def test_trust_through_a_hub_of_many_hosts(spark):
+    n = 20_000
+    hosts = spark.range(n).selectExpr("concat('h', id, '.net') AS src", "'hub.net' AS dst")
+    edges = hosts.unionByName(hosts.selectExpr("dst AS src", "src AS dst"))
+    edges = edges.selectExpr("src", "dst", f"IF(src = 'hub.net', 1D / {n}, 1D) AS share", f"IF(dst = 'hub.net', 1D / {n}, 1D) AS back")
+    seeds = spark.createDataFrame([("h0.net", 1.0, 0.0), ("h1.net", 0.0, 1.0)], "host string, allowed double, blocked double")
+    got = link_trust.conserve(link_trust.propagate(seeds, edges), seeds)
+    hub, leaf = 0.85 * 0.15 / (1 - 0.85**2), 0.85**2 * 0.15 / (1 - 0.85**2) / n
+    rows = {r.host: r for r in got.filter("host IN ('hub.net', 'h0.net', 'h7.net')").collect()}
+    assert got.count() == n + 1
+    assert rows["hub.net"].trust == pytest.approx(hub, rel=1e-2) and rows["h7.net"].trust == pytest.approx(leaf, rel=1e-2)
+    assert rows["h0.net"].trust == pytest.approx(0.15 + leaf, rel=1e-2)
+
+
+# 7
+
+
+def test_penalties_come_from_folds_and_terms_are_counted(spark):
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        rows.append(np.unique(np.append(rng.integers(100, 400, 30), 7 if toxic else 8)))
+        y.append(float(toxic))
+    grid = (fm_toxicity.Penalties(500.0, 20.0, 2.4), fm_toxicity.PENALTIES)
+    dull, keen = fm_toxicity.fold_losses(rows, np.array(y), grid)
+    assert keen < dull
+    model = fm_toxicity.fit_chosen(rows, np.array(y), grid)
+    assert 7 in model.places
+    # terms of fewer documents never leave Spark; the empty text keeps its row
+    text = [(i, f"common{i % 2} rare{i}x" if i else None, "lang", 3) for i in range(60)]
+    docs = spark.createDataFrame(text, "doc_id bigint, text string, toxic string, count int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    found, marks = fm_toxicity.labelled_terms(docs, labels)
+    learn = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert len(found) == len(learn) and marks.tolist() == [i % 2 for i in learn]
+    # common0 or common1, and beginnings of it and of rare<i>x, in five documents or more
+    assert max(map(len, found)) <= 7 and [len(f) == 0 for f in found] == [i == 0 for i in learn]
+    assert len(fm_toxicity.labelled_terms(docs.limit(0), labels)[0]) == 0

@@ -2,12 +2,16 @@
 
 Rules decide the pages they fit. For the rest, trust flows along host links from hosts with
 allowed pages (personalised PageRank) and distrust flows against the links from hosts with
-blocked pages: whoever links to a blocked host becomes suspect. A host whose distrust exceeds
-its trust is blocked. DataFrame functions only.
+blocked pages: whoever links to a blocked host becomes suspect. A host is a seed by the share of
+its ruled pages that are allowed (blocked), whatever their number, so a large site weighs no more
+than a small one. The mass of hosts that the flow cannot leave returns to the seeds: the scores
+keep the sum of their seeds. A host whose distrust exceeds its trust is blocked. DataFrame
+functions only.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed; an
-empty path fits no rule; hosts without any evidence are allowed; links without a host, to the
-own host or in a null html make no edge; repeated pages count as often as they occur; empty
+empty path fits no rule; hosts without any evidence, or with equal trust and distrust, are allowed;
+links without a host, to the own host or in a null html make no edge, nor does a tag that is not
+closed before the next ``<``; repeated pages count as often as they occur; empty
 tables give an empty result; extra columns are ignored.
 """
 
@@ -21,7 +25,9 @@ from tidemark.session import cut
 DAMPING = 0.85
 TOLERANCE = 1e-4  # relative change of a host's trust or distrust in the last round
 DISTRUST_FACTOR = 1.0  # blocked if distrust > factor * trust
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+CLEARLY = 1 + 1e-9  # sums of doubles that differ by less are a tie
+# possessive, and never past a '<': the time is linear in the page
+LINK = r"""(?i)<a\s(?:[^<>]*?\s)??href\s*+=\s*+["']?+\s*+([^"'\s<>]++)"""
 
 
 def _lower(c: Column) -> Column:
@@ -101,17 +107,28 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
+def conserve(scores: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Scores scaled to the sum of their seeds, which is what returning the mass of hosts without
+    further links to the seeds in every round leads to: the flow is linear in its source."""
+    # two rows of two numbers
+    had = seeds.agg(F.sum("allowed"), F.sum("blocked")).first()
+    has = scores.agg(F.sum("trust"), F.sum("distrust")).first()
+    trust, distrust = (a / b if b else 0.0 for a, b in zip(had, has))
+    return scores.select("host", (F.col("trust") * trust).alias("trust"), (F.col("distrust") * distrust).alias("distrust"))
+
+
 def filter_pages(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     located = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = apply_rules(located, rules)
-    count = lambda v: F.sum(F.when(F.col("said") == v, 1.0).otherwise(0.0))
+    share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     seeds = judged.filter("said IS NOT NULL").groupBy("host").agg(
-        count("allow").alias("allowed"), count("block").alias("blocked")
+        share("allow").alias("allowed"), share("block").alias("blocked")
     )
-    scores = propagate(seeds, host_edges(pages.select("url", "html")))
+    seeds = cut(seeds)
+    scores = conserve(propagate(seeds, host_edges(pages.select("url", "html"))), seeds)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    found = F.when(distrust > DISTRUST_FACTOR * trust, "block").otherwise("allow")
+    found = F.when(distrust > DISTRUST_FACTOR * CLEARLY * trust, "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", found).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),
