@@ -41,7 +41,7 @@ from tidemark.session import cut
 KINDS = ("email", "ip", "card", "phone")
 PRIOR = 1.0  # texts that the rate behind an estimate weighs
 REACH = 256  # words of a line that are evidence, on both sides
-TALLY = 1 << 20  # terms, or pairs, a task gathers before it counts them
+TALLY = 1 << 18  # terms, or pairs, a task gathers before it counts them
 AT_ONCE = 1 << 11  # entities of a text that are paired at once
 GENERALISE_FROM, REMOVE_FROM = 0.6, 0.9
 
@@ -332,8 +332,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, texts: DataFrame, source: Dis
         if ids.size:
             yield _counted(ids, n)
 
-    found = source.map(work, "term bigint, n bigint")
-    return found.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # every task sends its own row of a term: first one row per term, then the test of the few that
+    # the filter let through by chance
+    found = source.map(work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return found.join(terms, "term", "left_semi")
 
 
 def _added(ids: np.ndarray, n: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
