@@ -29,6 +29,7 @@ from tidemark.llm.words import Hasher, Texts, Words, split
 
 SLICE = 2 << 20
 NEVER = 1 << 62
+MAX_PAIRS = 1 << 18  # remembered pairs of tokens (about 25 MB); it starts anew beyond, no result changes
 # White space beyond the bytes that cut a text into segments.
 WIDE_SPACE = regex.compile(r"[\x1c-\x1f\x85\p{Z}--\x20]", regex.V1)
 
@@ -78,7 +79,7 @@ class PrefixEncoder:
         key = a << 32 | b
         first = self.pairs.get(key)
         if first is None:
-            if len(self.pairs) > 1 << 20:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             first = self.pairs[key] = self.crossing(a, b)
         return first >= below
