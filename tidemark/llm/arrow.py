@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,31 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {SPARK_TYPES[f.type]}" for f in schema)
 
 
+def lean(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, at whose end ``after()`` is called and freed memory goes back to
+    the system: Python workers outlive their tasks and wait beside those of later steps."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Return the memory that Arrow and the C library (glibc) keep for reuse."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_text(
     df: DataFrame,
     keep: list[str],
@@ -34,12 +60,14 @@ def per_text(
     fields: list[tuple[str, pa.DataType]],
     make: Callable[[], Callable[[Texts], dict]],
     limit: int = SLICE_BYTES,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Columns ``keep`` plus ``fields`` computed from the whole text of every row.
 
     ``make()`` runs once in each task and returns the function that maps the texts of a slice to
     one array or list per field. A slice holds about ``limit`` bytes, so the memory of a task
-    depends on the slice and the longest single text, not on the partition.
+    depends on the slice and the longest single text, not on the partition. ``after()`` runs at
+    the end of each task, to let go of what the function holds in its worker.
     """
     names = [f"_k{i}" for i in range(len(keep))]
     inner = pa.schema(fields)
@@ -63,7 +91,7 @@ def per_text(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *inner.names])
 
-    out = source.mapInArrow(run, ", ".join(x for x in (kept, ddl(inner)) if x))
+    out = source.mapInArrow(lean(run, after), ", ".join(x for x in (kept, ddl(inner)) if x))
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *inner.names)
 
 

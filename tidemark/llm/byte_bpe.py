@@ -188,14 +188,22 @@ _LOADED: dict[tuple[str, str], tuple] = {}
 
 
 def _loaded(ranks_path: str, pattern: str):
-    """Encoder and cache of this Python worker; later tasks on it use them again."""
+    """Encoder and cache of this Python worker; later tasks on it use the encoder again."""
     if (ranks_path, pattern) not in _LOADED:
         encode, prefix = encoder(ranks_path, pattern)
         tokens = [prefix.token.get(i, b"") for i in range(max(prefix.token) + 1)]
-        _LOADED[ranks_path, pattern] = PieceCache(encode, np.uint32), tokens
+        _LOADED[ranks_path, pattern] = PieceCache(encode, np.uint32), prefix, tokens
     return _LOADED[ranks_path, pattern]
 
 
+def _let_go() -> None:
+    """Empty what this Python worker remembers of the texts of a task; it may wait for long, beside
+    workers of other steps. The encoder stays: it takes longer to build than many tasks run."""
+    for cache, prefix, _ in _LOADED.values():
+        cache.clear()
+        prefix.pairs.clear()
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] = ("doc_id",), with_ids: bool = False
 ) -> DataFrame:
@@ -204,7 +212,7 @@ def encode_documents(
     fields += [("token_ids", pa.list_(pa.int32()))] * with_ids
 
     def make():
-        cache, tokens = _loaded(ranks_path, pattern)
+        cache, _, tokens = _loaded(ranks_path, pattern)
         names = [str(i).encode() for i in range(len(tokens))]
 
         def work(texts: Texts) -> dict:
@@ -224,4 +232,4 @@ def encode_documents(
 
         return work
 
-    return per_text(docs, list(keep), "text", fields, make, SLICE)
+    return per_text(docs, list(keep), "text", fields, make, SLICE, _let_go)

@@ -20,9 +20,9 @@ class PieceCache:
 
     def __init__(self, encode: Callable, dtype=np.uint16, max_entries: int = MAX_ENTRIES):
         self.encode, self.dtype, self.max_entries = encode, dtype, max_entries
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.keys = np.empty(0, np.uint64)
         self.start = np.empty(0, np.int64)  # where the ids of a key lie in ``flat``, and how many
         self.size = np.empty(0, np.int64)
@@ -47,7 +47,7 @@ class PieceCache:
         """(flat ids, bounds) of the byte ranges, in order; ``keys`` are their fingerprints."""
         unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if self.keys.size > self.max_entries:
-            self._clear()
+            self.clear()
         fresh = np.flatnonzero(~self._known(unique))
         if fresh.size:
             at = example[fresh]

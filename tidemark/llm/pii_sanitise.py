@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import ddl
+from tidemark.llm.arrow import ddl, lean
 from tidemark.llm.spaced_seeds import Bloom, plain_words
 from tidemark.llm.words import Texts, mix, slices
 from tidemark.session import cut
@@ -198,7 +198,7 @@ class Distinct:
                 hit = held.may_hold(batch.column(1).to_numpy().view(np.uint64))
                 yield batch.take(pa.array(hit))
 
-        self.copies = cut(self.docs.mapInArrow(run, "text string, key bigint").dropDuplicates(["key"]))
+        self.copies = cut(self.docs.mapInArrow(lean(run), "text string, key bigint").dropDuplicates(["key"]))
 
     def map(self, work, schema: str, hinted: bool = False) -> DataFrame:
         """``work`` gets (texts, keys) of slices of distinct texts and returns record batches."""
@@ -221,7 +221,7 @@ class Distinct:
 
         def read(df: DataFrame, once: bool) -> DataFrame:
             kept = df.filter(F.col("text").rlike(ENTITY_HINT)) if hinted else df
-            return kept.select("text", "key", F.lit(once).alias("once")).mapInArrow(run, schema)
+            return kept.select("text", "key", F.lit(once).alias("once")).mapInArrow(lean(run), schema)
 
         return read(self.docs, False).unionByName(read(self.copies, True))
 
@@ -525,8 +525,10 @@ def _apply(docs: DataFrame, keep: list[str], fields: list, make_row) -> DataFram
             yield from with_terms(batch, batch.column(len(names) + 2))
 
     schema = f"{kept}, {ddl(inner)}"
-    moved = rows.mapInArrow(told_of, rows.schema).join(told, "_key", "left").select(*names, "_text", "_key", "_terms")
-    return rows.mapInArrow(plain, schema).unionByName(moved.mapInArrow(met, schema)).select(
+    # never a broadcast join: one task would run both functions, and so hold two Python workers
+    chosen_rows = rows.mapInArrow(lean(told_of), rows.schema)
+    moved = chosen_rows.join(told.hint("merge"), "_key", "left").select(*names, "_text", "_key", "_terms")
+    return rows.mapInArrow(lean(plain), schema).unionByName(moved.mapInArrow(lean(met), schema)).select(
         *[F.col(n).alias(c) for c, n in zip(keep, names)], *inner.names
     )
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import lean
 from tidemark.llm.words import Hasher, Texts, Words, mix, slices, split
 from tidemark.session import cut
 
@@ -224,7 +225,7 @@ def candidate_regions(docs: DataFrame, bloom: Bloom, masks: list[str]) -> DataFr
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"region bigint, doc_id {kind}, place bigint, seed bigint, words array<bigint>"
+        lean(run), f"region bigint, doc_id {kind}, place bigint, seed bigint, words array<bigint>"
     )
 
 
