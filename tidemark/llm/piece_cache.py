@@ -43,9 +43,13 @@ class PieceCache:
         at[at == self.keys.size] = 0
         return self.keys[at] == keys if self.keys.size else np.zeros(keys.size, bool)
 
+    def _distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys in order, where one of each is, which of them every key is)."""
+        return np.unique(keys, return_index=True, return_inverse=True)
+
     def ids(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray):
         """(flat ids, bounds) of the byte ranges, in order; ``keys`` are their fingerprints."""
-        unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        unique, example, inverse = self._distinct(keys)
         if self.keys.size > self.max_entries:
             self.clear()
         fresh = np.flatnonzero(~self._known(unique))

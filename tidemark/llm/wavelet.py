@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.piece_cache import PieceCache
-from tidemark.llm.words import Hasher, slices, split
+from tidemark.llm.word_pieces import Encoder, pieces
+from tidemark.llm.words import Hasher, slices
 from tidemark.session import scratch_path
 
 MAGIC = b"WVM1"
@@ -53,9 +53,10 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         current, planes = ids, []
         for level in range(bits - 1, -1, -1):
-            one = (current >> level) & 1 == 1
+            one = ((current >> level) & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            current = np.concatenate((current[~one], current[one]))
+            # taking by position is faster than by a mask of bits that change often
+            current = np.concatenate((current[np.flatnonzero(~one)], current[np.flatnonzero(one)]))
         return cls(ids.size, planes)
 
     def _bit(self, level: int, i: int) -> int:
@@ -126,8 +127,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, dtype)
             zeros = self.zeros[level]
-            above[~one] = values[:zeros]
-            above[one] = values[zeros:] | dtype(1 << (bits - 1 - level))
+            above[np.flatnonzero(~one)] = values[:zeros]
+            above[np.flatnonzero(one)] = values[zeros:] | dtype(1 << (bits - 1 - level))
             values = above
         return values
 
@@ -158,25 +159,15 @@ def open_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return ids, np.concatenate(([0], np.cumsum(sizes))), WaveletMatrix(n, planes)
 
 
-_LOADED: dict[str, tuple[PieceCache, int]] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def _word_encoder(vocabulary: str) -> tuple[PieceCache, int]:
-    """Cache of the ids of white-space separated chunks, and the bits of an id. The vocabulary
-    never joins across white space. A Python worker keeps it for its later tasks."""
-    if vocabulary in _LOADED:
-        return _LOADED[vocabulary]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        texts = [c.decode("utf-8") for c in chunks]
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    bits = (tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length()
-    _LOADED[vocabulary] = PieceCache(encode, np.uint16 if bits <= 16 else np.uint32), bits
+def _word_encoder(vocabulary: str) -> Encoder:
+    """Encoder with a cache of the ids of pieces of words. The vocabulary never joins across white
+    space. A Python worker keeps it for its later tasks."""
+    if vocabulary not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _LOADED[vocabulary] = Encoder(vocabulary)
     return _LOADED[vocabulary]
 
 
@@ -199,12 +190,12 @@ def write_shards(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = None, 0
+        encoder = None
         doc_ids, chunks, sizes, held, shard, part = [], [], [], 0, 0, 0
 
         def flush():
             nonlocal doc_ids, chunks, sizes, held, shard
-            blob = pack_shard(np.concatenate(chunks), doc_ids, np.concatenate(sizes), bits)
+            blob = pack_shard(np.concatenate(chunks), doc_ids, np.concatenate(sizes), encoder.bits)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()),
                  pa.array([held], pa.int64()), pa.array([blob], pa.binary())],
@@ -214,15 +205,15 @@ def write_shards(
             return row
 
         for batch in batches:
-            if cache is None:
-                cache, bits = _word_encoder(vocabulary)
+            if encoder is None:
+                encoder = _word_encoder(vocabulary)
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
             for lo, hi, texts in slices(batch.column(1), SLICE):
-                words = split(texts)
-                keys = Hasher(texts.data, False).of(words.start, words.end)
-                flat, bounds = cache.ids(keys, texts.data, words.start, words.end)
-                ends = bounds[words.first[1:]]
+                parts = pieces(texts, encoder.added)
+                keys = Hasher(parts.data, False).of(parts.start, parts.end)
+                flat, bounds = encoder.ids(keys, parts.data, parts.start, parts.end)
+                ends = bounds[parts.first[1:]]
                 chunks.append(np.insert(flat, ends, end_id))
                 sizes.append(np.diff(np.concatenate(([0], ends))) + 1)
                 doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
@@ -255,7 +246,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, bounds, matrix = open_shard(batch.column(2)[i].as_py())
-                ids = matrix.decode().astype("<u4", copy=False)
+                ids = matrix.decode(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4", copy=False)
                 n = len(doc_ids)
                 crc = [zlib.crc32(ids[bounds[j] : bounds[j + 1]].tobytes()) for j in range(n)]
                 yield pa.RecordBatch.from_arrays(
